@@ -1,7 +1,8 @@
 """The same results as plain SQL over the benchmark tables, written from the definitions.
 
 Where the library ranks or pre-aggregates, the SQL takes the direct road (self-joins, sorted lists),
-so the two share no method.
+so the two share no method. Doubles are rounded after a shift of 3e-10: means of two-decimal values often
+lie exactly half-way between two rounded values, and the shift moves the boundary off those points.
 """
 
 from __future__ import annotations
@@ -268,14 +269,14 @@ _CTES["time_auc"] = _auc("graded", "timespent")
 for _s in ("predictions", "timespent", "neg_time"):
     _CTES[f"auc_{_s}"] = _auc("scored", _s)
 
-_LOG = "user_id, item_id, pos, round(timespent, 9) AS timespent, \"like\", dislike, share, bookmarks, rn"
-_W = "user_id, item_id, round(weight, 9) AS weight, datetime, pos"
+_LOG = "user_id, item_id, pos, round(timespent + 3e-10, 6) AS timespent, \"like\", dislike, share, bookmarks, rn"
+_W = "user_id, item_id, round(weight + 3e-10, 6) AS weight, datetime, pos"
 
 _SELECTS: dict[str, str] = {
     "split_positions": f"SELECT {_LOG} FROM ranked",
     "split_holdout": f"SELECT {_LOG} FROM test",
     "split_train": f"SELECT {_LOG} FROM train",
-    "split_tail_ratio": f"SELECT {_LOG}, round(rn_ratio, 9) AS rn_ratio FROM ratios",
+    "split_tail_ratio": f"SELECT {_LOG}, round(rn_ratio + 3e-10, 6) AS rn_ratio FROM ratios",
     "split_tail_cb": f"SELECT {_LOG} FROM cb",
     "split_tail_als": f"SELECT {_LOG} FROM als",
     "append_holdout": f"SELECT {_LOG} FROM cb UNION ALL SELECT {_LOG} FROM (SELECT * REPLACE (CAST(1 AS BIGINT) AS rn) FROM test)",
@@ -283,63 +284,63 @@ _SELECTS: dict[str, str] = {
         SELECT {_LOG} FROM cb WHERE user_id IN (
             SELECT user_id FROM cb GROUP BY user_id HAVING sum("like" + dislike + share + bookmarks) > 0)""",
     "latest_pairs": """
-        SELECT user_id, item_id, pos, round(timespent, 9) AS timespent, "like", dislike, share, bookmarks
+        SELECT user_id, item_id, pos, round(timespent + 3e-10, 6) AS timespent, "like", dislike, share, bookmarks
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY pos DESC) AS k FROM interactions)
         WHERE k = 1""",
     "top_items": f"""
         SELECT {_W} FROM w_like WHERE item_id IN (
             SELECT item_id FROM w_like GROUP BY item_id ORDER BY count(*) DESC, item_id DESC LIMIT 50)""",
     "w_like": """
-        SELECT user_id, item_id, round(CAST("like" * 2.0 - dislike AS DOUBLE), 9) AS weight, CAST(1 AS BIGINT) AS datetime, pos
+        SELECT user_id, item_id, round(CAST("like" * 2.0 - dislike AS DOUBLE) + 3e-10, 6) AS weight, CAST(1 AS BIGINT) AS datetime, pos
         FROM als WHERE "like" + dislike >= 1""",
     "w_like_book_share": """
         SELECT user_id, item_id,
-               round(CAST(CASE WHEN dislike = 0 THEN "like" + 0.5 * share + 2.0 * bookmarks ELSE -1 END AS DOUBLE), 9) AS weight,
+               round(CAST(CASE WHEN dislike = 0 THEN "like" + 0.5 * share + 2.0 * bookmarks ELSE -1 END AS DOUBLE) + 3e-10, 6) AS weight,
                CAST(1 AS BIGINT) AS datetime, pos
         FROM als WHERE "like" + dislike + share + bookmarks >= 1""",
     "w_timespent": """
         SELECT * FROM (
-            SELECT a.user_id, a.item_id, round(least(greatest(a.timespent / i.duration, 0), 3), 9) AS weight, a.rn AS datetime, a.pos
+            SELECT a.user_id, a.item_id, round(least(greatest(a.timespent / i.duration, 0), 3) + 3e-10, 6) AS weight, a.rn AS datetime, a.pos
             FROM als a JOIN items i ON i.item_id = a.item_id
             WHERE least(greatest(a.timespent / i.duration, 0), 3) > 0.5)""",
     "w_like_all": """
         SELECT user_id, item_id, CAST("like" AS DOUBLE) AS weight, CAST(1 AS BIGINT) AS datetime, pos
         FROM als WHERE dislike + share + bookmarks = 0""",
     "w_log_decay": """
-        SELECT user_id, item_id, round(weight / ln(k + 1), 9) AS weight, datetime, pos
+        SELECT user_id, item_id, round(weight / ln(k + 1) + 3e-10, 6) AS weight, datetime, pos
         FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS k FROM w_like)""",
     "source_rekey": f"SELECT {_W} FROM rekeyed",
-    "source_rollup": "SELECT user_id, item_id, datetime, round(weight, 9) AS weight FROM rolled",
+    "source_rollup": "SELECT user_id, item_id, datetime, round(weight + 3e-10, 6) AS weight FROM rolled",
     "pseudo_items": """
-        SELECT user_id, item_id, datetime, round(weight, 9) AS weight FROM w_like
-        UNION ALL SELECT user_id, item_id + 1000000, datetime, round(weight, 9) FROM rolled""",
+        SELECT user_id, item_id, datetime, round(weight + 3e-10, 6) AS weight FROM w_like
+        UNION ALL SELECT user_id, item_id + 1000000, datetime, round(weight + 3e-10, 6) FROM rolled""",
     "target": 'SELECT user_id, item_id, pos, "like" - dislike AS target FROM interactions',
     "nearest_quantiles": "SELECT item_id, "
-    + ", ".join(f"round({_nearest('timespent', p)}, 9) AS timespent_q{p}" for p in ALL)
+    + ", ".join(f"round({_nearest('timespent', p)} + 3e-10, 6) AS timespent_q{p}" for p in ALL)
     + " FROM interactions GROUP BY item_id",
     "mode_ties": """
         SELECT user_id, item_id FROM (
             SELECT user_id, item_id, rank() OVER (PARTITION BY user_id ORDER BY count(*) DESC) AS r
             FROM interactions GROUP BY user_id, item_id) WHERE r = 1""",
     "user_mean_vector": """
-        SELECT user_id, CAST(dim AS INTEGER) AS dim, round(value, 9) AS value FROM taste WHERE taste = 'liked'""",
+        SELECT user_id, CAST(dim AS INTEGER) AS dim, round(value + 3e-10, 6) AS value FROM taste WHERE taste = 'liked'""",
     "embedding_sims": """
-        SELECT user_id, item_id, round(liked_embeddings_sim, 9) AS liked_embeddings_sim,
-               round(disliked_embeddings_sim, 9) AS disliked_embeddings_sim FROM sims""",
+        SELECT user_id, item_id, round(liked_embeddings_sim + 3e-10, 6) AS liked_embeddings_sim,
+               round(disliked_embeddings_sim + 3e-10, 6) AS disliked_embeddings_sim FROM sims""",
     "score_pivot": """
-        SELECT user_id, item_id, n_rows, round(mean_time, 9) AS mean_time, likes FROM per_pair""",
+        SELECT user_id, item_id, n_rows, round(mean_time + 3e-10, 6) AS mean_time, likes FROM per_pair""",
     "mean_ensemble": """
-        SELECT user_id, item_id, round((n_rows + mean_time * CAST(0.5 AS DOUBLE) + likes * 2) / 3, 9) AS prediction FROM per_pair""",
-    "cold_fill": "SELECT user_id, item_id, round(predict, 9) AS predict, is_cold FROM fixed_scores",
-    "cold_share": "SELECT round(avg(CAST(is_cold AS DOUBLE)), 9) AS cold_share FROM fixed_scores",
-    "user_auc": "SELECT user_id, num, den, round(rocauc, 9) AS rocauc FROM time_auc",
-    "mean_auc": "SELECT round(avg(rocauc), 9) AS mean_auc, count(*) AS n_users FROM auc_predictions",
+        SELECT user_id, item_id, round((n_rows + mean_time * CAST(0.5 AS DOUBLE) + likes * 2) / 3 + 3e-10, 6) AS prediction FROM per_pair""",
+    "cold_fill": "SELECT user_id, item_id, round(predict + 3e-10, 6) AS predict, is_cold FROM fixed_scores",
+    "cold_share": "SELECT round(avg(CAST(is_cold AS DOUBLE)) + 3e-10, 6) AS cold_share FROM fixed_scores",
+    "user_auc": "SELECT user_id, num, den, round(rocauc + 3e-10, 6) AS rocauc FROM time_auc",
+    "mean_auc": "SELECT round(avg(rocauc) + 3e-10, 6) AS mean_auc, count(*) AS n_users FROM auc_predictions",
     "auc_report": " UNION ALL ".join(
-        f"SELECT '{s}' AS model, round(avg(rocauc), 9) AS mean_auc, count(*) AS n_users FROM auc_{s}"
+        f"SELECT '{s}' AS model, round(avg(rocauc) + 3e-10, 6) AS mean_auc, count(*) AS n_users FROM auc_{s}"
         for s in ("predictions", "timespent", "neg_time")
     ),
     "ease_gram": """
-        SELECT a.item_id AS item_j, b.item_id AS item_i, round(sum(a.weight * b.weight), 9) AS g
+        SELECT a.item_id AS item_j, b.item_id AS item_i, round(sum(a.weight * b.weight) + 3e-10, 6) AS g
         FROM (SELECT user_id, item_id, sum(weight) AS weight FROM w_like GROUP BY user_id, item_id) a
         JOIN (SELECT user_id, item_id, sum(weight) AS weight FROM w_like GROUP BY user_id, item_id) b ON a.user_id = b.user_id
         GROUP BY a.item_id, b.item_id HAVING sum(a.weight * b.weight) <> 0""",
@@ -402,7 +403,7 @@ def _wide(table: str) -> str:
     keep = f"COLUMNS(lambda c: regexp_full_match(c, '{_NOT_DOUBLE}')" + (
         " AND NOT regexp_full_match(c, 'user_(liked_)?source_id_mode'))" if modes else ")"
     )
-    return f"SELECT {keep}, round(COLUMNS(lambda c: NOT regexp_full_match(c, '{_NOT_DOUBLE}')), 9){modes} FROM {table}"
+    return f"SELECT {keep}, round(COLUMNS(lambda c: NOT regexp_full_match(c, '{_NOT_DOUBLE}')) + 3e-10, 6){modes} FROM {table}"
 
 
 def oracle_sql() -> dict[str, str]:

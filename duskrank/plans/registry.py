@@ -140,11 +140,14 @@ class Inputs:
         return scoring.score_pairs(pairs, self.known_ids("supplier", "s_suppkey"), self.known_ids("part", "p_partkey"))
 
 
-def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
-    """Doubles to a fixed number of digits, so that summation order does not show."""
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to a fixed number of digits, so that summation order does not show.
+
+    The shift keeps exact half-way values (means of two-decimal numbers) off the rounding boundary.
+    """
     return df.select(
         *[
-            F.round(F.col(f.name), digits).alias(f.name)
+            F.round(F.col(f.name) + F.lit(3e-10), digits).alias(f.name)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType))
             else F.col(f.name)
             for f in df.schema
