@@ -24,13 +24,13 @@ _STATE = "kind string, id int, n int, features array<double>, bias double, seen
 
 def _initial(index: DataFrame, number: str, width: int, seed: int) -> DataFrame:
     """Small centred vectors from hashes (users and items alike), zero biases."""
-    unit = [
-        (F.pmod(F.xxhash64(F.col(number), F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30) - 0.5) / width
-        for k in range(width)
-    ]
+    unit = F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)),
+        lambda k: (F.pmod(F.xxhash64(F.col(number), F.lit(seed), k), F.lit(1 << 30)) / float(1 << 30) - 0.5) / width,
+    )
     return index.select(
         F.col(number).alias("id"),
-        F.array(*unit).alias("features"),
+        unit.alias("features"),
         F.lit(0.0).alias("bias"),
         F.lit(1.0).alias("seen"),
         F.lit(1.0).alias("bias_seen"),

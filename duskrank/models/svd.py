@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskrank.models.blocks import Blocks, layout, restore_ids, stack
@@ -113,17 +113,15 @@ def fit_svd(
     blocks = layout(train, block, buckets)
     width = min(n_factors + oversample, blocks.n_items, blocks.n_users)
     rank = min(n_factors, width)
-    start = blocks.items.select(
-        "i",
-        F.array(
-            *[
-                # standard normal from two hashed uniforms
-                F.sqrt(-2 * F.log((F.pmod(F.xxhash64("i", F.lit(seed), F.lit(2 * k)), F.lit(1 << 30)) + 1) / float(1 << 30)))
-                * F.cos(2 * np.pi * F.pmod(F.xxhash64("i", F.lit(seed), F.lit(2 * k + 1)), F.lit(1 << 30)) / float(1 << 30))
-                for k in range(width)
-            ]
-        ).alias("features"),
+    def uniform(k: Column) -> Column:
+        return (F.pmod(F.xxhash64(F.col("i"), F.lit(seed), k), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+
+    # standard normals, each from two hashed uniforms
+    normals = F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)),
+        lambda k: F.sqrt(-2 * F.log(uniform(2 * k))) * F.cos(2 * np.pi * uniform(2 * k + 1)),
     )
+    start = blocks.items.select("i", normals.alias("features"))
     newest = cut(_orthonormal(cut(start, "svd_start"), "i", width), "svd_items")
     basis, columns = newest, width
     for _ in range(passes):

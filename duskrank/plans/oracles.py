@@ -339,6 +339,37 @@ _SELECTS: dict[str, str] = {
         f"SELECT '{s}' AS model, round(avg(rocauc) + 3e-10, 6) AS mean_auc, count(*) AS n_users FROM auc_{s}"
         for s in ("predictions", "timespent", "neg_time")
     ),
+    "biased_fill": """
+        SELECT user_id, item_id, round(d + 3e-10, 6) AS predict,
+               round(d + CAST(uid AS DOUBLE) / 100 - CAST(iid AS DOUBLE) / 10 + 3e-10, 6) AS predict_with_user_and_item_bias,
+               round(CASE WHEN d IS NOT NULL THEN CAST(uid AS DOUBLE) / 100 END + 3e-10, 6) AS predict_only_user_bias,
+               round(CASE WHEN d IS NOT NULL THEN -CAST(iid AS DOUBLE) / 10 END + 3e-10, 6) AS predict_only_item_bias,
+               d IS NULL AS is_cold
+        FROM (SELECT user_id, item_id, user_id AS uid, item_id AS iid, CASE WHEN NOT is_cold THEN predict END AS d
+              FROM fixed_scores)""",
+    "source_fill": """
+        SELECT p.user_id, p.item_id,
+               round(CASE WHEN u.embedding IS NULL OR s.embedding IS NULL THEN -1.0
+                     ELSE list_dot_product(CAST(u.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])) END + 3e-10, 6) AS predict,
+               u.embedding IS NULL OR s.embedding IS NULL AS is_cold
+        FROM (SELECT DISTINCT user_id, item_id FROM interactions) p
+        LEFT JOIN items i ON i.item_id = p.item_id
+        LEFT JOIN embeddings u ON u.vec_id = p.user_id AND u.vec_id IN (SELECT s_suppkey FROM supplier)
+        LEFT JOIN embeddings s ON s.vec_id = i.source_id AND s.vec_id IN (SELECT p_partkey FROM part)""",
+    "sequence_fill": """
+        SELECT p.user_id, p.item_id,
+               round(CASE WHEN h.v IS NULL OR i.embeddings IS NULL THEN -1.0
+                     ELSE list_dot_product(h.v, CAST(i.embeddings AS DOUBLE[])) END + 3e-10, 6) AS predict,
+               h.v IS NULL OR i.embeddings IS NULL AS is_cold
+        FROM test_pairs p LEFT JOIN items i ON i.item_id = p.item_id
+        LEFT JOIN (
+            SELECT user_id, list(value ORDER BY dim) AS v FROM (
+                SELECT w.user_id, g.dim, avg(CAST(i.embeddings[g.dim + 1] AS DOUBLE)) AS value
+                FROM w_like w JOIN items i ON i.item_id = w.item_id,
+                     LATERAL (SELECT unnest(range(len(i.embeddings))) AS dim) g
+                GROUP BY w.user_id, g.dim) GROUP BY user_id) h ON h.user_id = p.user_id""",
+    "sequence_sentences": """
+        SELECT string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY pos) AS sentence FROM w_like GROUP BY user_id""",
     "ease_gram": """
         SELECT a.item_id AS item_j, b.item_id AS item_i, round(sum(a.weight * b.weight) + 3e-10, 6) AS g
         FROM (SELECT user_id, item_id, sum(weight) AS weight FROM w_like GROUP BY user_id, item_id) a

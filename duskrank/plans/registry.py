@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -11,9 +12,11 @@ from pyspark.sql import types as T
 
 from duskrank.functions.exprs import target
 from duskrank.functions.ordered import Hot, detect_hot, nearest_quantiles, tied_modes
+from duskrank.models import ease, ranker, search, sequence
 from duskrank.operators import features, metrics, scoring, split, stats, vectors, weights
-from duskrank.session import cut, tune
-from duskrank.sources import fixtures
+from duskrank.plans import fleet
+from duskrank.session import cut, scratch_root, tune
+from duskrank.sources import fixtures, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -134,10 +137,13 @@ class Inputs:
             self.items.select(F.col("item_id").alias("id"), F.col("embeddings").alias("features")), "id"
         )
 
+    def fixed_sides(self) -> tuple[DataFrame, DataFrame]:
+        return self.known_ids("supplier", "s_suppkey"), self.known_ids("part", "p_partkey")
+
     def fixed_factor_scores(self) -> DataFrame:
         """Interactions scored against stored vectors; users that are no supplier are cold."""
         pairs = self.interactions.select("user_id", "item_id").distinct()
-        return scoring.score_pairs(pairs, self.known_ids("supplier", "s_suppkey"), self.known_ids("part", "p_partkey"))
+        return scoring.score_pairs(pairs, *self.fixed_sides())
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -207,6 +213,36 @@ def _timespent_auc(i: Inputs) -> DataFrame:
     return metrics.user_auc(i.interactions.select("user_id", "timespent", target()), "timespent", hot=i.hot_users)
 
 
+def _fixed_biased(i: Inputs) -> DataFrame:
+    """The four outputs of a biased model, with biases made from the ids."""
+    users, items = i.fixed_sides()
+    pairs = i.interactions.select("user_id", "item_id").distinct()
+    return scoring.score_pairs_biased(
+        pairs,
+        users.withColumn("bias", F.col("id") / 100.0),
+        items.withColumn("bias", -F.col("id") / 10.0),
+        cold=None,
+    )
+
+
+def _fixed_source(i: Inputs) -> DataFrame:
+    """Source wrapper: distinct (user, source) pairs are scored and handed down to the items."""
+    users, items = i.fixed_sides()
+    pairs = i.interactions.select("user_id", "item_id").distinct()
+    return scoring.score_by_source(pairs, i.items, lambda p: scoring.score_pairs(p, users, items))
+
+
+def _fixed_sequence(i: Inputs) -> DataFrame:
+    """Sequence scoring with the stored vectors: mean history vector times candidate vector."""
+    model = {"items": i.items.select(F.col("item_id").alias("id"), F.col("embeddings").alias("features"))}
+    return sequence.score_sequence(i.test_pairs, i.like, model)
+
+
+def _sentences(i: Inputs) -> DataFrame:
+    """Training sentences as text; none of these histories is long enough to be cut."""
+    return sequence.sentences(i.like, i.hot_users).select(F.array_join("items", " ").alias("sentence"))
+
+
 RELATIONAL: dict[str, Callable[[Inputs], DataFrame]] = {
     "split_positions": lambda i: split.with_reverse_position(i.interactions, hot=i.hot_users),
     "split_holdout": lambda i: i.test,
@@ -244,6 +280,11 @@ RELATIONAL: dict[str, Callable[[Inputs], DataFrame]] = {
     "mean_ensemble": _mean_ensemble,
     "cold_fill": lambda i: i.fixed_factor_scores(),
     "cold_share": lambda i: metrics.cold_share(i.fixed_factor_scores()),
+    "biased_fill": _fixed_biased,
+    "source_fill": _fixed_source,
+    "sequence_fill": _fixed_sequence,
+    "sequence_sentences": _sentences,
+    "ease_gram": lambda i: ease.gram_table(i.like, 35_000),
     "user_auc": _timespent_auc,
     "mean_auc": lambda i: metrics.mean_auc(i.popularity_scores(), hot=i.hot_users),
     "auc_report": _auc_report,
@@ -259,6 +300,7 @@ _STORED = {
     "user_stats",
     "embedding_sims",
     "feature_table",
+    "sequence_fill",
     "mean_auc",
     "auc_report",
 }
@@ -268,5 +310,112 @@ def relational_queries() -> dict[str, Query]:
     return {name: _query(build, name in _STORED) for name, build in RELATIONAL.items()}
 
 
+# Fitted models: small sizes, whole tables. SQL cannot express the fits; tests check them against numpy.
+_SMALL = fleet.FleetParams(
+    als_iterations=5,
+    als_factors=8,
+    pairwise_factors=8,
+    pairwise_epochs=5,
+    ease_regularization=500.0,
+    sequence_factors=8,
+    sequence_epochs=2,
+    svd_factors=8,
+)
+
+
+def _scored_by(name: str) -> Callable[[Inputs], DataFrame]:
+    """Fit the fleet's model ``name`` on its set and score the holdout pairs."""
+    spec = next(m for m in fleet.FLEET if m.name == name)
+
+    def build(i: Inputs) -> DataFrame:
+        train = cut(weights.training_sets(i.factor, i.items, hot=i.hot_users)[spec.train_set], "set")
+        model = fleet.fit_model(spec, train, i.items, _SMALL, hot=i.hot_users)
+        return fleet.score_model(spec, model, i.test_pairs, train, i.items)
+
+    return build
+
+
+def _vectors(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Assembled ranker rows: (rows of the ranker part, holdout rows)."""
+    train = i.feature_table(split.latest_pairs(i.ranker)).withColumn("target", target())
+    held = i.feature_table(split.latest_pairs(i.test)).withColumn("target", target())
+    train, held = cut(train, "train_features"), cut(held, "test_features")
+    columns = [c for c in features.feature_columns(train.drop(*features.RAW_COLUMNS))]
+    assembler = features.FeatureAssembler(columns).fit(train)
+    keep = ["user_id", "item_id", "target", "features"]
+    return (
+        cut(assembler.transform(train).select(*keep), "train_vectors"),
+        cut(assembler.transform(held).select(*keep), "test_vectors"),
+    )
+
+
+_RANKER = ranker.RankerSpec(rounds=3, depth=4)
+
+
+def _predicted(spec) -> Callable[[Inputs], DataFrame]:
+    def build(i: Inputs) -> DataFrame:
+        train, held = _vectors(i)
+        return spec.fit(train).predict(held).select("user_id", "item_id", "target", "prediction")
+
+    return build
+
+
+def _stacked(i: Inputs) -> DataFrame:
+    train, held = _vectors(i)
+    base = [_RANKER, ranker.ClassifierSpec("logistic", 10)]
+    stack = ranker.StackSpec(base, ranker.RankerSpec(rounds=2, depth=3)).fit(train)
+    return stack.predict(held, return_features=True).drop("features")
+
+
+def _mean_of_rankers(i: Inputs) -> DataFrame:
+    train, held = _vectors(i)
+    models = ranker.fit_mean([ranker.RankerSpec(rounds=2, depth=4, seed=s) for s in (32, 42)], train)
+    return ranker.predict_mean(models, held, [1.0, 0.5]).drop("features")
+
+
+def _trials(i: Inputs) -> DataFrame:
+    train, held = _vectors(i)
+    trials = search.sample_trials(2, seed=1, rounds=(1, 3), depths=(2, 4))
+    return search.search(train, held, trials)
+
+
+def _user_split(i: Inputs) -> DataFrame:
+    kept, held = split.split_users(i.interactions, 0.2)
+    sides = kept.withColumn("side", F.lit("kept")).unionByName(held.withColumn("side", F.lit("held")))
+    return sides.select("user_id", "item_id", "pos", "side")
+
+
+def _run_log(i: Inputs) -> DataFrame:
+    log = store.RunLog(i.spark, f"{scratch_root(i.spark)}/run_log_{uuid.uuid4().hex}", run_id="run")
+    log.params(test_rows=20, ranker_fraction=0.2)
+    log.metrics_from(_auc_report(i), "model", "mean_auc")
+    return log.read().select("run_id", "kind", "key", "value")
+
+
+MODELS: dict[str, Callable[[Inputs], DataFrame]] = {
+    "als_scores": _scored_by("predict_als_item_like"),
+    "als_source_scores": _scored_by("predict_als_source_like"),
+    "sequence_scores": _scored_by("w2v_predict_like"),
+    "sequence_source_scores": _scored_by("w2v_predict_like_source"),
+    "svd_scores": _scored_by("predict_svd_like"),
+    "ease_scores": _scored_by("predict_ease_like"),
+    "ease_source_scores": _scored_by("predict_ease_source_like"),
+    "bpr_scores": _scored_by("predict_lfm_item_like"),
+    "warp_scores": _scored_by("predict_lfm_item_like_warp"),
+    "pairwise_source": _scored_by("predict_lfm_source_like"),
+    "pairwise_pseudo": _scored_by("predict_lfm_source_add_like"),
+    "pairwise_time_weighted": _scored_by("predict_lfm_item_like_time_weighted"),
+    "als_timespent_scores": _scored_by("predict_als_item_timespent"),
+    "ranker_scores": _predicted(_RANKER),
+    "classifier_scores": _predicted(ranker.ClassifierSpec("gbt", 3, 3)),
+    "stacked_scores": _stacked,
+    "ranker_mean_scores": _mean_of_rankers,
+    "search_trials": _trials,
+    "fingerprint": lambda i: store.fingerprint(i.interactions),
+    "user_split": _user_split,
+    "run_log": _run_log,
+}
+
+
 def queries() -> dict[str, Query]:
-    return relational_queries()
+    return {**relational_queries(), **{name: _query(build, True) for name, build in MODELS.items()}}
