@@ -154,42 +154,50 @@ def _dense_blocks(upper: DataFrame, n: int, size: int, regularization: float) ->
 def invert_blocks(blocks: DataFrame, count: int, size: int) -> DataFrame:
     """Inverse of a symmetric positive definite matrix stored as blocks, by block Gauss-Jordan steps.
 
-    A step joins every block with one block of the pivot row and one of the pivot column, so a task
-    holds three blocks; the table is written after every step.
+    Step k scales the pivot row by the inverse of the pivot block, then joins every block with one block
+    of that row and one of the pivot column: a task holds three blocks at a time, and the table is
+    written after every step.
     """
 
-    def step(k: int):
+    def matrix(values) -> np.ndarray:
+        return values.reshape(size, size)
+
+    def inverted(batches):
+        for batch in batches:
+            yield pd.DataFrame({"bi": batch["bi"], "p": [np.linalg.inv(matrix(m)).ravel() for m in batch["m"]]})
+
+    def scaled(k: int):
+        def run(batches):
+            for batch in batches:
+                rows = batch[["bj", "m", "p"]].itertuples(index=False)
+                out = [(bj, p if bj == k else (matrix(p) @ matrix(m)).ravel()) for bj, m, p in rows]
+                yield pd.DataFrame(out, columns=["bj", "row"])
+
+        return run
+
+    def updated(k: int):
         def run(batches):
             for batch in batches:
                 out = []
-                for bi, bj, own, col, row, pivot in batch[["bi", "bj", "m", "col", "row", "pivot"]].itertuples(index=False):
-                    p = pivot.reshape(size, size)
-                    if bi == k and bj == k:
-                        m = p
-                    elif bi == k:
-                        m = p @ own.reshape(size, size)
+                for bi, bj, own, col, row in batch[["bi", "bj", "m", "col", "row"]].itertuples(index=False):
+                    if bi == k:
+                        m = row
                     elif bj == k:
-                        m = -own.reshape(size, size) @ p
+                        m = -(matrix(own) @ matrix(row)).ravel()
                     else:
-                        m = own.reshape(size, size) - col.reshape(size, size) @ (p @ row.reshape(size, size))
-                    out.append((bi, bj, m.ravel()))
+                        m = own - (matrix(col) @ matrix(row)).ravel()
+                    out.append((bi, bj, m))
                 yield pd.DataFrame(out, columns=["bi", "bj", "m"])
 
         return run
 
-    def inverse(batches):
-        for batch in batches:
-            yield pd.DataFrame({"pivot": [np.linalg.inv(m.reshape(size, size)).ravel() for m in batch["m"]]})
-
     for k in range(count):
-        pivot = blocks.filter((F.col("bi") == k) & (F.col("bj") == k)).select("m")
-        pivot = pivot.mapInPandas(inverse, "pivot array<double>")
-        column = blocks.filter((F.col("bj") == k)).select("bi", F.col("m").alias("col"))
-        row = blocks.filter((F.col("bi") == k)).select("bj", F.col("m").alias("row"))
-        joined = (
-            blocks.join(column, "bi").join(row, "bj").withColumn("pivot", pivot.scalar())
-        )
-        blocks = cut(joined.mapInPandas(step(k), "bi int, bj int, m array<double>"), "ease_blocks")
+        pivot = blocks.filter((F.col("bi") == k) & (F.col("bj") == k)).select("bi", "m")
+        row = blocks.filter(F.col("bi") == k).join(pivot.mapInPandas(inverted, "bi int, p array<double>"), "bi")
+        row = row.select("bj", "m", "p").mapInPandas(scaled(k), "bj int, row array<double>")
+        column = blocks.filter(F.col("bj") == k).select("bi", F.col("m").alias("col"))
+        joined = blocks.join(column, "bi").join(row, "bj")
+        blocks = cut(joined.mapInPandas(updated(k), "bi int, bj int, m array<double>"), "ease_blocks")
     return blocks
 
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from duskrank.functions.ordered import HOT_ROWS, Hot, positions
 from duskrank.operators.scoring import score_pairs
 from duskrank.operators.vectors import mean_vectors
+from duskrank.session import cut
 
 # fixed value: most items per training sentence, also the library's own cutting length
 SENTENCE = 1000
+SENTENCES_PER_TASK = 100_000
 
 
 def sentences(train: DataFrame, hot: Hot = True, limit: int = HOT_ROWS) -> DataFrame:
@@ -37,13 +39,17 @@ def fit_sequence(
     min_count: int = 5,
     window: int = 5,
     seed: int = 42,
-    partitions: int = 1,
+    partitions: int | None = None,
     hot: Hot = True,
 ) -> dict[str, DataFrame]:
     """Skip-gram vectors per item (id, features); rarer items than ``min_count`` get none.
 
-    With several ``partitions`` each trains on its share per epoch and the vectors are averaged.
+    With several ``partitions`` each trains on its share per epoch and the vectors are averaged; by
+    default there is one per SENTENCES_PER_TASK sentences.
     """
+    texts = cut(sentences(train, hot), "sentences")
+    if partitions is None:
+        partitions = max(1, -(-texts.count() // SENTENCES_PER_TASK))
     model = Word2Vec(
         vectorSize=n_factors,
         maxIter=epochs,
@@ -54,7 +60,7 @@ def fit_sequence(
         maxSentenceLength=SENTENCE,
         inputCol="items",
         outputCol="vector",
-    ).fit(sentences(train, hot))
+    ).fit(texts)
     vectors = model.getVectors().select(
         F.col("word").cast("long").alias("id"), vector_to_array("vector").alias("features")
     )

@@ -102,21 +102,26 @@ class Inputs:
     def user_source_stats(self) -> DataFrame:
         return stats.user_source_stats(self.factor, self.items, min_interactions=3)
 
-    def sims(self) -> DataFrame:
+    def sims(self, pairs: DataFrame) -> DataFrame:
         liked, disliked = vectors.taste_vectors(self.factor, self.items)
-        return vectors.embedding_sims(self.test_pairs, self.items, liked, disliked)
+        return vectors.embedding_sims(pairs, self.items, liked, disliked)
 
-    def feature_table(self, pairs: DataFrame) -> DataFrame:
+    def statistics(self) -> dict[str, DataFrame]:
+        return {
+            "item_stats": self.item_stats(),
+            "source_stats": self.combined_source_stats(),
+            "user_stats": self.user_stats(),
+            "user_source_stats": self.user_source_stats(),
+        }
+
+    def feature_table(self, pairs: DataFrame, statistics: dict[str, DataFrame] | None = None) -> DataFrame:
         return features.join_features(
             pairs,
             None,
-            self.item_stats(),
-            self.combined_source_stats(),
-            self.items,
-            self.user_stats(),
-            self.user_source_stats(),
-            self.sims(),
-            self.users,
+            items=self.items,
+            sims=self.sims(pairs),
+            users=self.users,
+            **(statistics or self.statistics()),
         )
 
     def popularity_scores(self) -> DataFrame:
@@ -274,7 +279,7 @@ RELATIONAL: dict[str, Callable[[Inputs], DataFrame]] = {
     "nearest_quantiles": lambda i: nearest_quantiles(i.interactions, ["item_id"], {"timespent": stats.DECILES}, hot=i.hot_items),
     "mode_ties": _mode_ties,
     "user_mean_vector": _user_mean_vector,
-    "embedding_sims": lambda i: i.sims(),
+    "embedding_sims": lambda i: i.sims(i.test_pairs),
     "feature_table": lambda i: i.feature_table(split.latest_pairs(i.test)),
     "score_pivot": _score_pivot,
     "mean_ensemble": _mean_ensemble,
@@ -337,10 +342,11 @@ def _scored_by(name: str) -> Callable[[Inputs], DataFrame]:
 
 def _vectors(i: Inputs) -> tuple[DataFrame, DataFrame]:
     """Assembled ranker rows: (rows of the ranker part, holdout rows)."""
-    train = i.feature_table(split.latest_pairs(i.ranker)).withColumn("target", target())
-    held = i.feature_table(split.latest_pairs(i.test)).withColumn("target", target())
+    tables = {name: cut(df, name) for name, df in i.statistics().items()}
+    train = i.feature_table(split.latest_pairs(i.ranker), tables).withColumn("target", target())
+    held = i.feature_table(split.latest_pairs(i.test), tables).withColumn("target", target())
     train, held = cut(train, "train_features"), cut(held, "test_features")
-    columns = [c for c in features.feature_columns(train.drop(*features.RAW_COLUMNS))]
+    columns = features.feature_columns(train.drop(*features.RAW_COLUMNS))
     assembler = features.FeatureAssembler(columns).fit(train)
     keep = ["user_id", "item_id", "target", "features"]
     return (
