@@ -71,7 +71,7 @@ class FittedRanker:
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         out, total = df, F.lit(0.0)
         for k, (tree, values) in enumerate(zip(self.trees, self.leaves)):
-            tree = tree.copy().setPredictionCol("").setLeafCol(f"_leaf{k}")
+            tree = tree.copy().setFeaturesCol(self.features).setPredictionCol("").setLeafCol(f"_leaf{k}")
             out = tree.transform(out)
             total = total + _leaf_value(f"_leaf{k}", values)
         return out.withColumn(output, total).drop(*[f"_leaf{k}" for k in range(len(self.trees))])
@@ -106,20 +106,18 @@ class RankerSpec:
         model = FittedRanker([], [], self.features)
         for r in range(self.rounds):
             graded = ranking_gradients(state, r, self.seed, self.permutations, self.decay)
-            graded = graded.withColumn("_label", F.when(F.col("hess") > 0, F.col("grad") / F.col("hess")))
             graded = graded.persist(StorageLevel.MEMORY_AND_DISK)
             tree = DecisionTreeRegressor(
                 featuresCol="features",
-                labelCol="_label",
-                weightCol="hess",
+                labelCol="grad",
                 maxDepth=self.depth,
                 maxBins=self.bins,
                 minInstancesPerNode=1,
                 seed=self.seed + r,
                 leafCol="_leaf",
                 predictionCol="",
-            ).fit(graded.filter(F.col("_label").isNotNull()))
-            # 2^depth leaves at most
+            ).fit(graded)
+            # splits follow the gradients, leaf values are Newton steps; 2^depth leaves at most
             sums = tree.transform(graded).groupBy("_leaf").agg(F.sum("grad").alias("g"), F.sum("hess").alias("h")).collect()
             values = [0.0] * (1 + int(max((s["_leaf"] for s in sums), default=0)))
             for s in sums:
