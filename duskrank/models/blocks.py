@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from duskrank.models.als import indexed
 from duskrank.session import cut
 
+# a bucket is one task's pandas input: small sets stay in few buckets, large ones never exceed the upper size
+MIN_ROWS_PER_BUCKET = 20_000
 ROWS_PER_BUCKET = 8_000_000
 
 
@@ -41,7 +43,7 @@ def layout(train: DataFrame, block: int, buckets: int | None = None) -> Blocks:
     n_users, n_items = users.count(), items.count()
     if buckets is None:
         parallel = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(min(parallel, n_users), -(-n_entries // ROWS_PER_BUCKET))
+        buckets = max(min(parallel, -(-n_entries // MIN_ROWS_PER_BUCKET)), -(-n_entries // ROWS_PER_BUCKET), 1)
     placed = entries.select(
         F.pmod(F.xxhash64("u"), F.lit(buckets)).cast("int").alias("p"),
         F.floor(F.col("i") / block).cast("int").alias("q"),
