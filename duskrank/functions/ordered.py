@@ -193,15 +193,29 @@ def nearest_quantiles(
     )
 
 
-def tied_modes(df: DataFrame, key: str, value: str, name: str, predicate: Column | None = None) -> DataFrame:
-    """All most frequent non-null values per key as a sorted array (empty when there are none)."""
-    keep = F.col(value).isNotNull()
-    if predicate is not None:
-        keep = keep & predicate
-    counts = df.groupBy(key, value).agg(F.count(F.when(keep, F.lit(1))).alias("_c"))
-    top = counts.withColumn("_top", F.max("_c").over(Window.partitionBy(key)))
-    is_mode = (F.col("_c") == F.col("_top")) & (F.col("_c") > 0)
-    return top.groupBy(key).agg(F.sort_array(F.collect_list(F.when(is_mode, F.col(value)))).alias(name))
+def tied_modes(df: DataFrame, key: str, value: str, names: dict[str, Column | None]) -> DataFrame:
+    """All most frequent non-null values per key, as sorted arrays (empty when there are none).
+
+    ``names`` maps an output column to the predicate its rows must satisfy (None: all rows). The counts
+    per (key, value) are made first, so a key brings at most as many rows as it has distinct values.
+    """
+    known = F.col(value).isNotNull()
+    counts = df.groupBy(key, value).agg(
+        *[
+            F.count(F.when(known if p is None else known & p, F.lit(1))).alias(f"_c{k}")
+            for k, p in enumerate(names.values())
+        ]
+    )
+    of_key = Window.partitionBy(key)
+    top = counts.withColumns({f"_top{k}": F.max(f"_c{k}").over(of_key) for k in range(len(names))})
+    return top.groupBy(key).agg(
+        *[
+            F.sort_array(
+                F.collect_list(F.when((F.col(f"_c{k}") == F.col(f"_top{k}")) & (F.col(f"_c{k}") > 0), F.col(value)))
+            ).alias(name)
+            for k, name in enumerate(names)
+        ]
+    )
 
 
 def dense_index(ids: DataFrame, column: str, name: str) -> DataFrame:

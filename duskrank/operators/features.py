@@ -43,15 +43,20 @@ def join_features(
     ``pairs`` has unique (user, item) rows. ``likelihoods=False`` and no ``user_source_stats`` give
     the smaller table used by the parameter search, which keeps ``source_id`` and the mode lists.
     """
-    df = pairs if scores is None else pairs.join(scores, ["user_id", "item_id"], "left")
+    # Everything that hangs on the item is gathered on the catalogue first, everything on the user likewise,
+    # so the pairs are shuffled once per key and not once per table.
+    source_side = suffix_shared(source_stats, item_stats.columns, ["source_id"], "_source")
+    item_side = (
+        item_stats.join(items.select("item_id", "source_id"), "item_id", "full").join(source_side, "source_id", "left")
+    )
+    user_side = user_stats if users is None else user_stats.join(users, "user_id", "full")
+    df = pairs
     for right, keys, suffix in (
-        (item_stats, ["item_id"], "_item"),
-        (items.select("item_id", "source_id"), ["item_id"], ""),
-        (source_stats, ["source_id"], "_source"),
-        (user_source_stats, ["user_id", "source_id"], "_user2source_feature"),
-        (user_stats, ["user_id"], ""),
+        (scores, ["user_id", "item_id"], ""),
         (sims, ["user_id", "item_id"], ""),
-        (users, ["user_id"], ""),
+        (item_side, ["item_id"], "_item"),
+        (user_source_stats, ["user_id", "source_id"], "_user2source_feature"),
+        (user_side, ["user_id"], ""),
     ):
         if right is not None:
             df = df.join(suffix_shared(right, df.columns, keys, suffix), keys, "left")

@@ -171,7 +171,10 @@ def user_stats(
     )
     out = (
         means.join(nearest_quantiles(interactions, ["user_id"], {"timespent": ODD_DECILES}, exact, hot, limit), "user_id", "left")
-        .join(tied_modes(sourced, "user_id", "source_id", "source_id_mode"), "user_id", "left")
-        .join(tied_modes(sourced, "user_id", "source_id", "liked_source_id_mode", liked), "user_id", "left")
+        .join(
+            tied_modes(sourced, "user_id", "source_id", {"source_id_mode": None, "liked_source_id_mode": liked}),
+            "user_id",
+            "left",
+        )
     )
     return out.withColumnsRenamed({c: f"user_{c}" for c in out.columns if c != "user_id"})

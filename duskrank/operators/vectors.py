@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskrank.functions.exprs import dot, positive_feedback
+from duskrank.session import cut
 
 
 def mean_vectors(df: DataFrame, key: str = "user_id", vector: str = "embeddings") -> DataFrame:
@@ -31,8 +32,9 @@ def embedding_sims(pairs: DataFrame, items: DataFrame, liked: DataFrame, dislike
     """Dot product of each pair's item vector with the user's liked and disliked mean vectors.
 
     A user without such a vector gets the mean over all pairs; pairs of unknown items are left out.
+    The products are written once, since both the means and the result read them.
     """
-    sims = (
+    products = (
         pairs.select("user_id", "item_id")
         .join(items.select("item_id", "embeddings"), "item_id")
         .join(liked.withColumnRenamed("embeddings", "_liked"), "user_id", "left")
@@ -44,6 +46,7 @@ def embedding_sims(pairs: DataFrame, items: DataFrame, liked: DataFrame, dislike
             dot(F.col("embeddings"), F.col("_disliked")).alias("disliked_embeddings_sim"),
         )
     )
+    sims = cut(products, "sims")
     columns = ["liked_embeddings_sim", "disliked_embeddings_sim"]
     # a one-row aggregate, read as a scalar subquery
     means = sims.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("_means")).scalar()

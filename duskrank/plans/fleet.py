@@ -50,6 +50,7 @@ class FleetParams:
     seed: int = 42
 
 
+# fixed values in the following lists: the output column names, which set each model is fitted on, its loss
 def _reaction_models(s: str) -> list[ModelSpec]:
     """The eleven models fitted on a reaction set (``like`` or ``like_book_share``)."""
     return [

@@ -199,7 +199,7 @@ def _user_mean_vector(i: Inputs) -> DataFrame:
 
 
 def _mode_ties(i: Inputs) -> DataFrame:
-    modes = tied_modes(i.interactions, "user_id", "item_id", "modes")
+    modes = tied_modes(i.interactions, "user_id", "item_id", {"modes": None})
     return modes.select("user_id", F.explode("modes").alias("item_id"))
 
 

@@ -97,10 +97,9 @@ def test_nearest_quantiles_keep_null_groups_and_sketch_agrees(spark):
 def test_tied_modes(spark):
     rows = [(1, 5), (1, 5), (1, 2), (1, 2), (1, 9), (2, None), (2, 7), (3, None)]
     df = spark.createDataFrame(rows, "user_id long, s long")
-    got = {r.user_id: r.m for r in tied_modes(df, "user_id", "s", "m").collect()}
-    assert got == {1: [2, 5], 2: [7], 3: []}
-    none = tied_modes(df, "user_id", "s", "m", F.lit(False)).collect()
-    assert all(r.m == [] for r in none)
+    names = {"m": None, "small": F.col("s") < 5, "none": F.lit(False)}
+    got = {r.user_id: (r.m, r.small, r.none) for r in tied_modes(df, "user_id", "s", names).collect()}
+    assert got == {1: ([2, 5], [2], []), 2: ([7], [], []), 3: ([], [], [])}
 
 
 def test_dense_index(spark):
