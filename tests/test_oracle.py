@@ -6,6 +6,12 @@ import __spark_entry__ as entry
 from tests.oracle_check import connect, differences
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    """The smallest size at which the default thresholds leave rows in every result."""
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
