@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duskrank.llm import bpe, token_files
+from duskrank.llm import bpe, mixing, secrets, token_files, url_rules
 from duskrank.llm.common import table
 from duskrank.session import scratch_root
 
@@ -16,6 +16,10 @@ BYTE_RANKS = "byte_bpe_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
 
 
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.filter_pages(table(spark, sf_dir, "pages"))
+
+
 def token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_root(spark)}/duskrank/{uuid.uuid4().hex}/tokens"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -28,9 +32,21 @@ def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
 
 
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_rules": url_filter,
     "op5_token_files": token_binary_output,
     "op6_byte_bpe": byte_level_bpe,
+    "op9_secret_scan": secret_scan,
+    "op10_source_mix": source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_url_rules": url_rules.SQL, "op10_source_mix": mixing.SQL}
