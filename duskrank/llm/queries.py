@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duskrank.llm import bpe, mixing, secrets, token_files, url_rules
+from duskrank.llm import bpe, line_quality, mixing, secrets, token_files, url_rules
 from duskrank.llm.common import table
 from duskrank.session import scratch_root
 
@@ -32,6 +32,10 @@ def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
 
 
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judge(table(spark, sf_dir, "documents"))
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -45,8 +49,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_rules": url_filter,
     "op5_token_files": token_binary_output,
     "op6_byte_bpe": byte_level_bpe,
+    "op8_line_quality": quality_rules,
     "op9_secret_scan": secret_scan,
     "op10_source_mix": source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_rules": url_rules.SQL, "op10_source_mix": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_rules": url_rules.SQL, "op8_line_quality": line_quality.SQL, "op10_source_mix": mixing.SQL}
