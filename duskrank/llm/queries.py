@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duskrank.llm import bpe, line_quality, mixing, secrets, token_files, url_rules
+from duskrank.llm import bpe, line_quality, mixing, secrets, token_files, toxicity, url_rules
 from duskrank.llm.common import table
 from duskrank.session import scratch_root
 
@@ -20,6 +20,10 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_pages(table(spark, sf_dir, "pages"))
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_root(spark)}/duskrank/{uuid.uuid4().hex}/tokens"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -47,6 +51,7 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_rules": url_filter,
+    "op4_toxicity": toxicity_scores,
     "op5_token_files": token_binary_output,
     "op6_byte_bpe": byte_level_bpe,
     "op8_line_quality": quality_rules,
