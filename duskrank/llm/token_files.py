@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from duskrank.llm.common import slices, text_key
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 900_000
 # str.split() takes these for white space, the tokenizer does not
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -43,6 +44,20 @@ WRITE_OPTIONS = {
 }
 
 
+def _parts(word: str) -> tuple[str, ...]:
+    """Cuts a word of letters from the marks behind it, between which the tokenizer cuts as well.
+
+    Limited to Latin letters, about which all Unicode versions agree; ASCII is lower-cased as the
+    tokenizer does.
+    """
+    core = word.rstrip(".,;:!?*$%&#|")
+    if not core.isalpha() or max(core) > "\u024f":
+        return (word,)
+    tail = word[len(core) :]
+    core = core.lower() if core.isascii() else core
+    return (core, tail) if tail else (core,)
+
+
 class Words(dict):
     """White-space-free word -> its ids as int32 bytes.
 
@@ -57,11 +72,17 @@ class Words(dict):
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        found = {w: np.array(c.ids, dtype="<i4").tobytes() for w, c in zip(words, coded, strict=True)}
+        parts = {w: _parts(w) for w in words}
+        new = {p for pair in parts.values() for p in pair if p not in self}
+        new_list = list(new)
+        coded = self.tokenizer.encode_batch_fast(new_list, add_special_tokens=False)
+        found = {p: array("i", c.ids).tobytes() for p, c in zip(new_list, coded, strict=True)}
+        if len(self) < self.limit:
+            self.update((p, ids) for p, ids in found.items() if len(p) < 100)
+        known = {w: b"".join(found[p] if p in found else self[p] for p in pair) for w, pair in parts.items()}
         if len(self) < self.limit:
-            self.update((w, ids) for w, ids in found.items() if len(w) < 100)
-        return found
+            self.update((w, ids) for w, ids in known.items() if len(w) < 100)
+        return known
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self._words(t) for t in texts]
