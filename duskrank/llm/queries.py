@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duskrank.llm import bpe, line_quality, mixing, secrets, token_files, toxicity, url_rules
+from duskrank.llm import bpe, line_quality, mixing, probminhash, secrets, token_files, toxicity, url_rules
 from duskrank.llm.common import table
 from duskrank.session import scratch_root
 
@@ -36,6 +36,10 @@ def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": toxicity_scores,
     "op5_token_files": token_binary_output,
     "op6_byte_bpe": byte_level_bpe,
+    "op7_probminhash": near_duplicates,
     "op8_line_quality": quality_rules,
     "op9_secret_scan": secret_scan,
     "op10_source_mix": source_mix,
