@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duskrank.llm import bpe, line_quality, mixing, probminhash, secrets, token_files, toxicity, url_rules
+from duskrank.llm import bpe, line_chunks, line_quality, mixing, probminhash, secrets, token_files, toxicity, url_rules
 from duskrank.llm.common import table
 from duskrank.session import scratch_root
 
@@ -16,6 +16,11 @@ BYTE_RANKS = "byte_bpe_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_chunks.dedup_lines(docs, removed="n_removed_lines")
+
+
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_pages(table(spark, sf_dir, "pages"))
 
@@ -54,6 +59,7 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_chunks": line_dedup,
     "op2_url_rules": url_filter,
     "op4_toxicity": toxicity_scores,
     "op5_token_files": token_binary_output,
