@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duskrank.llm import bpe, line_chunks, line_quality, mixing, probminhash, secrets, token_files, toxicity, url_rules
+from duskrank.llm import bpe, hnsw, line_chunks, line_quality, mixing, probminhash, secrets, token_files, toxicity, url_rules
 from duskrank.llm.common import table
 from duskrank.session import scratch_root
 
@@ -25,6 +26,10 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_pages(table(spark, sf_dir, "pages"))
 
 
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,6 +66,7 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_chunks": line_dedup,
     "op2_url_rules": url_filter,
+    "op3_hnsw": nearest_neighbours,
     "op4_toxicity": toxicity_scores,
     "op5_token_files": token_binary_output,
     "op6_byte_bpe": byte_level_bpe,
