@@ -1,4 +1,10 @@
-"""The corpus pipeline: STAGES in order, each of them one operator of ``duskrank.llm``."""
+"""The corpus pipeline: STAGES in order, each of them one operator of ``duskrank.llm``.
+
+A stage takes (spark, docs, sf_dir) and returns documents; ``run`` writes each stage's result as Parquet
+and reads it as the next stage's documents. All stages but the last return the columns of ``documents``.
+Null texts and rows without words fail the quality rules and go in the first stage; an empty table runs
+through all stages. Other columns of the documents are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +13,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duskrank.llm import bpe
+from duskrank.llm import bpe, line_chunks, line_quality, mixing, probminhash
 from duskrank.llm.common import table
 from duskrank.session import scratch_root
 
@@ -17,13 +24,43 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; boilerplate lines go from the others."""
+    return line_quality.apply(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Chunks of lines stay at their first occurrence only."""
+    return line_chunks.dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    return probminhash.keep_first(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them."""
+    return mixing.repeated(docs, mixing.mix(docs))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's token ids."""
-    coded = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    return coded.selectExpr("doc_id", "cast(size(ids) as long) n_tokens", "ids")
+    """doc_id, source, n_tokens, ids, and whether decoding gives the text's bytes back."""
+    path = public_tokenizers.path(RANKS)
+    coded = bpe.encode(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN, keep_text=True)
+    whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return bpe.decode(coded, path).select(
+        "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip")
+    )
 
 
-STAGES: list[tuple[str, Stage]] = [("encode", encode)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mix", mix),
+    ("encode", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,5 +73,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-# The last stage's ids come from a tokenizer, which SQL cannot express.
+# The last stage's ids come from a tokenizer's ranks and the near-duplicates from signatures: not SQL.
 ORACLE_SQL = None
