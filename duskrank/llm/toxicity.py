@@ -6,7 +6,7 @@ letters), each after one space; lexicon entries start at a word's start and matc
 word that begins so. Exception phrases are entries of weight zero: a match inside one does not count.
 
 The lexicon is learnt from labelled documents: for every word and word beginning, in how many labelled
-toxic and clean documents it stands (counted by Spark over all training rows). An entry's weight is its
+toxic and clean documents it stands (counted by Spark over at most ``TRAIN_ROWS`` labelled documents). An entry's weight is its
 log odds, by a cautious estimate. Of a chain of beginnings the longest is taken that still covers nearly the same toxic words.
 Words that begin like an entry but stand in clean documents as often become exceptions.
 
@@ -49,6 +49,9 @@ MIN_TOXIC_DOCS, MIN_TOXIC_SHARE = 3, 0.015
 MIN_LOG_ODDS = 2.5
 NEARLY_ALL = 0.9
 BEGINNINGS = range(3, 13)
+# The lexicon and the score are fitted on at most so many labelled documents of each label, those whose
+# ids have the smallest hashes; a list of ids of that size is what is broadcast.
+TRAIN_ROWS = {1: 20_000, 0: 40_000}
 # Size of the model that is sent to the tasks; the strongest entries are kept.
 MAX_ENTRIES = 5000
 MAX_EXCEPTIONS = 5000
@@ -57,15 +60,21 @@ SCORE_BINS = 64
 _FOLD = {ord(c): latin for latin, group in LOOK_ALIKES.items() for c in group}
 _FOLD |= {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
 _FOLD |= {0xFF10 + i: chr(48 + i) for i in range(10)}
-_MIXED = re.compile(r"[^\W_]*(?:[^\W\d_][0-9@$!]|[0-9@$][^\W\d_])[\w@$!]*(?<!!)")
+# From a token's start: letters, then a sign or digit. Nothing is tried twice, however long the token.
+_MIXED = re.compile(r"(?<![\w@$!])[^\W\d_]*+[0-9@$!][\w@$!]*+")
 _WORD = re.compile(r"[^\W\d_]+")
 _SUBSTITUTE = str.maketrans(SUBSTITUTES)
 
 
+def _spelled(match: re.Match) -> str:
+    token = match[0].rstrip("!")
+    return token.translate(_SUBSTITUTE) if _WORD.search(token) else token
+
+
 def folded_words(text: str) -> list[str]:
     text = text.lower().translate(_FOLD) if not text.isascii() else text.lower()
     if any(c in text for c in SUBSTITUTES):
-        text = _MIXED.sub(lambda m: m[0].translate(_SUBSTITUTE), text)
+        text = _MIXED.sub(_spelled, text)
     return _WORD.findall(text)
 
 
@@ -203,7 +212,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
     held_out = remainder == 2
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out)
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    train = docs.select("doc_id", "text").filter(~held_out).join(known, "doc_id")
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    samples = [known.filter(F.col("toxic") == label).orderBy(*by_hash).limit(n) for label, n in TRAIN_ROWS.items()]
+    known = F.broadcast(cut(samples[0].unionByName(samples[1]), "training_ids"))
+    train = docs.select("doc_id", "text").join(known, "doc_id")
     lexicon, exceptions = learn_lexicon(cut(train.select("text", "toxic"), "train"))
     weighed = cut(weigh(docs, lexicon, exceptions).withColumn("bin", weight_bin(F.col("weight"))), "weighed")
 
