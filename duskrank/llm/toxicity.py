@@ -67,7 +67,7 @@ _SUBSTITUTE = str.maketrans(SUBSTITUTES)
 
 
 def _spelled(match: re.Match) -> str:
-    token = match[0].rstrip("!")
+    token = match[0].strip("!")
     return token.translate(_SUBSTITUTE) if _WORD.search(token) else token
 
 
