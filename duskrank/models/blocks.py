@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from duskrank.models.als import indexed
 from duskrank.session import cut
 
-# a bucket is one task's pandas input: small sets stay in few buckets, large ones never exceed the upper size
-MIN_ROWS_PER_BUCKET = 20_000
-ROWS_PER_BUCKET = 8_000_000
+# User buckets of a fit. A bucket against an item block is one task's pandas input, so a large set needs a
+# larger value (some millions of entries per bucket); it is a fit parameter because copies of an item block are
+# merged once per bucket, and it follows neither the data nor the session's settings.
+BUCKETS = 8
 
 
 @dataclass(frozen=True)
@@ -37,13 +38,10 @@ class Blocks:
         return max(1, -(-self.n_items // self.block))
 
 
-def layout(train: DataFrame, block: int, buckets: int | None = None) -> Blocks:
+def layout(train: DataFrame, block: int, buckets: int = BUCKETS) -> Blocks:
     """Number ids, cut into buckets and blocks, and write the entries once for all passes."""
-    entries, users, items, n_entries = indexed(train)
+    entries, users, items, _ = indexed(train)
     n_users, n_items = users.count(), items.count()
-    if buckets is None:
-        parallel = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(min(parallel, -(-n_entries // MIN_ROWS_PER_BUCKET)), -(-n_entries // ROWS_PER_BUCKET), 1)
     placed = entries.select(
         F.pmod(F.xxhash64("u"), F.lit(buckets)).cast("int").alias("p"),
         F.floor(F.col("i") / block).cast("int").alias("q"),

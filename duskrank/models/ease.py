@@ -98,7 +98,7 @@ def gram(entries: DataFrame, n_items: int) -> DataFrame:
     return sums.groupBy("j", "i").agg(F.sum("g").alias("g"))
 
 
-def gram_table(train: DataFrame, max_items: int) -> DataFrame:
+def gram_table(train: DataFrame, max_items: int | None = None) -> DataFrame:
     """Full symmetric Gram matrix (item_j, item_i, g), zero sums left out."""
     entries, items, n = _entries(train, max_items)
     upper = gram(entries, n)
@@ -111,8 +111,9 @@ def gram_table(train: DataFrame, max_items: int) -> DataFrame:
     )
 
 
-def _entries(train: DataFrame, max_items: int) -> tuple[DataFrame, DataFrame, int]:
-    kept = keep_frequent_items(train.dropna(subset=["user_id", "item_id"]), max_items)
+def _entries(train: DataFrame, max_items: int | None) -> tuple[DataFrame, DataFrame, int]:
+    kept = train.dropna(subset=["user_id", "item_id"])
+    kept = kept if max_items is None else keep_frequent_items(kept, max_items)
     sums = cut(kept.groupBy("user_id", "item_id").agg(F.sum("weight").alias("weight")), "ease_weights")
     items = cut(dense_index(sums, "item_id", "i"), "ease_items")
     entries = sums.join(items, "item_id").select(F.col("user_id").alias("u"), "i", "weight")
@@ -204,7 +205,7 @@ def invert_blocks(blocks: DataFrame, count: int, size: int) -> DataFrame:
 def fit_ease(
     train: DataFrame,
     regularization: float = 500.0,
-    max_items: int = 30000,
+    max_items: int | None = None,
     block: int = 1024,
 ) -> dict[str, DataFrame]:
     """``items``: number of every kept item; ``columns``: per candidate and history block its weights.

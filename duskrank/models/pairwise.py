@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskrank.models.blocks import Blocks, layout, restore_ids, stack
+from duskrank.models.blocks import BUCKETS, Blocks, layout, restore_ids, stack
 from duskrank.session import cut
 
 # fixed values: most negatives tried per positive, margin of the ranking loss
@@ -51,7 +51,7 @@ def _draws(users, items, epoch: int, seed: int, count: int, size: int) -> np.nda
     return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(size)).astype("int64")
 
 
-def _trainer(loss: str, epochs: range, seed: int, rate: float, n_items: int, batch: int):
+def _trainer(loss: str, epochs: range, seed: int, rate: float, batch: int):
     """One cell: stochastic steps with per-row AdaGrad scaling, ``epochs`` times over its positives."""
 
     def run(positives: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
@@ -113,7 +113,8 @@ def _trainer(loss: str, epochs: range, seed: int, rate: float, n_items: int, bat
                 hit = fresh & (bad > good[:, None] - MARGIN)
                 first = hit.argmax(axis=1)
                 use = hit.any(axis=1)
-                rank = np.floor((n_items - 1) / (first + 1.0))
+                # negatives come from the block, so the estimated rank is the one within the block
+                rank = np.floor((len(V["id"]) - 1) / (first + 1.0))
                 pull = w * np.log(np.maximum(rank, 1.0))
                 # the customary cap keeps one lucky draw from throwing the factors about
                 pull = np.minimum(pull, 10.0)
@@ -189,14 +190,15 @@ def fit_pairwise(
     seed: int = 42,
     rate: float = 0.05,
     block: int = 65536,
-    buckets: int | None = None,
+    buckets: int = BUCKETS,
     batch: int = 64,
     local_epochs: int = 5,
 ) -> dict[str, DataFrame]:
     """Factor tables ``users`` and ``items`` with (id, features, bias).
 
     Only positive weights are positives (a row's weight scales its steps); ids that occur with other
-    weights get vectors too. Tasks exchange item vectors after every ``local_epochs`` epochs.
+    weights get vectors too. Tasks exchange item vectors after every ``local_epochs`` epochs, and the number
+    of user ``buckets`` decides how many copies of a block are merged then: it is a parameter of the fit.
     """
     if loss not in ("bpr", "warp"):
         raise ValueError(f"unknown loss {loss!r}")
@@ -211,12 +213,9 @@ def fit_pairwise(
         for turn in range(blocks.n_blocks):
             # bucket p works on block (p + turn) mod n_blocks
             at_home = F.pmod(block_of - turn, F.lit(blocks.n_blocks))
-            spread = items.withColumn("kind", F.lit("i")).withColumn(
-                "p",
-                F.explode(F.sequence(at_home, F.lit(blocks.buckets - 1).cast("long"), F.lit(blocks.n_blocks).cast("long")))
-                if blocks.n_blocks > 1
-                else F.explode(F.sequence(F.lit(0), F.lit(blocks.buckets - 1))),
-            )
+            # a block that no bucket works on in this turn keeps its state
+            places = F.sequence(at_home, F.lit(blocks.buckets - 1).cast("long"), F.lit(blocks.n_blocks).cast("long"))
+            spread = items.withColumn("kind", F.lit("i")).filter(at_home < blocks.buckets).withColumn("p", F.explode(places))
             state = (
                 users.withColumn("kind", F.lit("u")).withColumn("p", bucket_of).select(*columns)
             ).unionByName(spread.withColumn("p", F.col("p").cast("int")).select(*columns))
@@ -224,7 +223,7 @@ def fit_pairwise(
             trained = (
                 cell.groupBy("p")
                 .cogroup(state.groupBy("p"))
-                .applyInPandas(_trainer(loss, span, seed, rate, blocks.n_items, batch), _STATE)
+                .applyInPandas(_trainer(loss, span, seed, rate, batch), _STATE)
             )
             trained = cut(trained, "pairwise", "kind")
             users = trained.filter("kind = 'u'").drop("kind", "n")

@@ -14,7 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskrank.models.blocks import Blocks, layout, restore_ids, stack
+from duskrank.models.blocks import BUCKETS, Blocks, layout, restore_ids, stack
 from duskrank.session import cut
 
 
@@ -104,7 +104,7 @@ def fit_svd(
     passes: int = 3,
     seed: int = 42,
     block: int = 65536,
-    buckets: int | None = None,
+    buckets: int = BUCKETS,
 ) -> dict[str, DataFrame]:
     """Factor tables with user = U and item = V * sigma, so that their dot is the rank-k value.
 

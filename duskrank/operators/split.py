@@ -74,7 +74,8 @@ def users_with_target(df: DataFrame) -> DataFrame:
 
 def user_fold(seed: int, column: str = "user_id"):
     """Pseudo-random value in [0, 10000) that depends only on the user and the seed."""
-    return F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(10000))
+    named = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(column).cast("string"), F.lit("null"))).cast("binary"))
+    return F.conv(F.substring(named, 1, 8), 16, 10).cast("long") % 10000
 
 
 def split_users(df: DataFrame, held_fraction: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:

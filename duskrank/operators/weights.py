@@ -100,6 +100,22 @@ def with_pseudo_items(weighted: DataFrame, items: DataFrame) -> DataFrame:
     return weighted.select(*pseudo.columns).unionByName(pseudo)
 
 
+# kinds of a typed item key
+ITEM, SOURCE = 0, 1
+
+
+def with_typed_pseudo_items(weighted: DataFrame, items: DataFrame) -> DataFrame:
+    """Like ``with_pseudo_items``, with ``item_id`` a (kind, id) pair, so no item can meet a pseudo-item."""
+
+    def typed(df: DataFrame, kind: int) -> DataFrame:
+        key = F.struct(F.lit(kind).alias("kind"), F.col("item_id").cast("long").alias("id"))
+        return df.filter("item_id IS NOT NULL").withColumn("item_id", key)
+
+    pseudo = typed(source_rollup(weighted, items), SOURCE)
+    own = typed(weighted, ITEM)
+    return own.select(*pseudo.columns).unionByName(pseudo)
+
+
 def training_sets(
     factor: DataFrame, items: DataFrame, like_weight: float = 1.0, hot: Hot = True
 ) -> dict[str, DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from duskrank.functions.ordered import Hot
 from duskrank.models import als, ease, pairwise, sequence, svd
-from duskrank.operators import metrics, scoring, weights
+from duskrank.operators import metrics, scoring, split, weights
 from duskrank.sources.store import ModelStore
 
 
@@ -47,6 +47,8 @@ class FleetParams:
     sequence_epochs: int = 30
     sequence_min_count: int = 5
     svd_factors: int = 128
+    # user buckets and factor blocks of every matrix fit: part of the fit, not of the session
+    blocks: int = 64
     seed: int = 42
 
 
@@ -103,10 +105,7 @@ SEARCH_FLEET: tuple[ModelSpec, ...] = tuple(
 def scoped(df: DataFrame, spec: ModelSpec, items: DataFrame) -> DataFrame:
     """The training set (or history) in the model's own id space."""
     if spec.scope == "pseudo":
-        low = df.agg(F.max("item_id").alias("m")).first()["m"]
-        if low is not None and low >= weights.SOURCE_OFFSET:
-            raise ValueError(f"item id {low} runs into the pseudo-item ids from {weights.SOURCE_OFFSET}")
-        return weights.with_pseudo_items(df, items)
+        return weights.with_typed_pseudo_items(df, items)
     if spec.scope == "source":
         return weights.source_rollup(df, items) if spec.kind == "ease" else weights.to_sources(df, items)
     return df
@@ -122,11 +121,14 @@ def fit_model(
 ) -> dict[str, DataFrame]:
     """Fitted tables of one model, from the store when the same fit was done before."""
     own = scoped(train, spec, items)
+    if spec.kind == "ease":
+        # the fleet's definition, not the fit's: the model knows the most frequent items or sources only
+        own = split.keep_frequent_items(own, p.ease_sources if spec.scope == "source" else p.ease_items)
     params: dict[str, Any] = {
-        "als": dict(iterations=p.als_iterations, alpha=p.als_alpha, regularization=p.als_regularization, n_factors=p.als_factors, seed=p.seed),
-        "pairwise": dict(n_factors=p.pairwise_factors, epochs=p.pairwise_epochs, loss=spec.loss, seed=p.seed),
-        "ease": dict(regularization=p.ease_regularization, max_items=p.ease_sources if spec.scope == "source" else p.ease_items),
-        "svd": dict(n_factors=p.svd_factors, seed=p.seed),
+        "als": dict(iterations=p.als_iterations, alpha=p.als_alpha, regularization=p.als_regularization, n_factors=p.als_factors, seed=p.seed, blocks=p.blocks),
+        "pairwise": dict(n_factors=p.pairwise_factors, epochs=p.pairwise_epochs, loss=spec.loss, seed=p.seed, buckets=p.blocks),
+        "ease": dict(regularization=p.ease_regularization),
+        "svd": dict(n_factors=p.svd_factors, seed=p.seed, buckets=p.blocks),
         "sequence": dict(n_factors=p.sequence_factors, epochs=p.sequence_epochs, min_count=p.sequence_min_count, seed=p.seed),
     }[spec.kind]
     fit = {
@@ -137,8 +139,14 @@ def fit_model(
         "sequence": lambda df, **kw: sequence.fit_sequence(df, hot=hot, **kw),
     }[spec.kind]
     if store is None:
-        return fit(own, **params)
-    return store.fit(spec.kind, params, own, lambda: fit(own, **params))
+        model = fit(own, **params)
+    else:
+        model = store.fit(spec.kind, params, own, lambda: fit(own, **params))
+    if spec.scope == "pseudo":
+        # pairs hold items only: their vectors get the plain ids back, those of pseudo-items are not needed
+        known = model["items"].filter(F.col("id.kind") == weights.ITEM)
+        model = {**model, "items": known.withColumn("id", F.col("id.id"))}
+    return model
 
 
 def score_model(

@@ -370,6 +370,44 @@ _SELECTS: dict[str, str] = {
                 GROUP BY w.user_id, g.dim) GROUP BY user_id) h ON h.user_id = p.user_id""",
     "sequence_sentences": """
         SELECT string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY pos) AS sentence FROM w_like GROUP BY user_id""",
+    "fingerprint": """
+        SELECT CAST(coalesce(sum(CAST('0x' || substr(md5(row), 1, 15) AS BIGINT)), 0) AS VARCHAR) AS hash_sum,
+               count(*) AS n_rows
+        FROM (SELECT concat(""" + ", ".join(
+        f"""coalesce(length(CAST("{c}" AS VARCHAR)) || ':' || CAST("{c}" AS VARCHAR), '-1:')"""
+        for c in ("bookmarks", "dislike", "item_id", "like", "pos", "share", "timespent", "user_id")
+    ) + """) AS row FROM interactions)""",
+    "user_split": """
+        SELECT user_id, item_id, pos,
+               CASE WHEN CAST('0x' || substr(md5('42:' || user_id), 1, 8) AS BIGINT) % 10000 < 2000
+                    THEN 'held' ELSE 'kept' END AS side
+        FROM interactions""",
+    "run_log": """
+        SELECT 'run' AS run_id, kind, key, round(value + 3e-10, 6) AS value FROM (
+          SELECT 'param' AS kind, 'test_rows' AS key, CAST(20 AS DOUBLE) AS value
+          UNION ALL SELECT 'param', 'ranker_fraction', CAST(0.2 AS DOUBLE)
+          UNION ALL SELECT 'metric', 'predictions_rocauc', avg(rocauc) FROM auc_predictions
+          UNION ALL SELECT 'metric', 'timespent_rocauc', avg(rocauc) FROM auc_timespent
+          UNION ALL SELECT 'metric', 'neg_time_rocauc', avg(rocauc) FROM auc_neg_time)""",
+    "split_files": """
+        SELECT user_id, item_id, pos, 'als' AS part FROM als
+        UNION ALL SELECT user_id, item_id, pos, 'cb' FROM cb
+        UNION ALL SELECT user_id, item_id, pos, 'cb' FROM test
+        UNION ALL SELECT user_id, item_id, pos, 'test' FROM test""",
+    "pair_files": "SELECT user_id, item_id FROM test_pairs",
+    "submission_files": "SELECT user_id, item_id, round(timespent, 6) AS predict FROM test",
+    "feature_files": "SELECT user_id, item_id, user_id || '-' || item_id AS pair FROM test_pairs",
+    "table_files": """
+        SELECT 'interactions' AS name, count(*) AS n_rows, CAST(sum(pos) AS BIGINT) AS total FROM interactions
+        UNION ALL SELECT 'items', count(*), CAST(sum(source_id) AS BIGINT) FROM items
+        UNION ALL SELECT 'users', count(*), CAST(sum(user_id) AS BIGINT) FROM users""",
+    "output_cache": """
+        SELECT item_id, n, likes, answer, 1 AS computed
+        FROM (SELECT item_id, count(*) AS n, sum("like") AS likes FROM interactions GROUP BY item_id),
+             (SELECT unnest([1, 2]) AS answer)""",
+    "model_cache": """
+        SELECT 'items' AS side, item_id AS id, sum(weight) AS weight, 1 AS fits FROM w_like GROUP BY item_id
+        UNION ALL SELECT DISTINCT 'users', user_id, NULL, 1 FROM w_like""",
     "ease_gram": """
         SELECT a.item_id AS item_j, b.item_id AS item_i, round(sum(a.weight * b.weight) + 3e-10, 6) AS g
         FROM (SELECT user_id, item_id, sum(weight) AS weight FROM w_like GROUP BY user_id, item_id) a

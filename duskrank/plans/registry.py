@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +15,8 @@ from duskrank.functions.ordered import Hot, detect_hot, nearest_quantiles, tied_
 from duskrank.models import ease, ranker, search, sequence
 from duskrank.operators import features, metrics, scoring, split, stats, vectors, weights
 from duskrank.plans import fleet
-from duskrank.session import cut, scratch_root, tune
-from duskrank.sources import fixtures, store
+from duskrank.session import cut, scratch_root
+from duskrank.sources import fixtures, io, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +28,6 @@ class Inputs:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False):
-        tune(spark)
         self.stored = stored
         self.spark, self.sf_dir = spark, sf_dir
         self.interactions = fixtures.interactions(spark, sf_dir)
@@ -289,7 +288,7 @@ RELATIONAL: dict[str, Callable[[Inputs], DataFrame]] = {
     "source_fill": _fixed_source,
     "sequence_fill": _fixed_sequence,
     "sequence_sentences": _sentences,
-    "ease_gram": lambda i: ease.gram_table(i.like, 35_000),
+    "ease_gram": lambda i: ease.gram_table(i.like),
     "user_auc": _timespent_auc,
     "mean_auc": lambda i: metrics.mean_auc(i.popularity_scores(), hot=i.hot_users),
     "auc_report": _auc_report,
@@ -325,6 +324,7 @@ _SMALL = fleet.FleetParams(
     sequence_factors=8,
     sequence_epochs=2,
     svd_factors=8,
+    blocks=4,
 )
 
 
@@ -395,7 +395,87 @@ def _run_log(i: Inputs) -> DataFrame:
     log = store.RunLog(i.spark, f"{scratch_root(i.spark)}/run_log_{uuid.uuid4().hex}", run_id="run")
     log.params(test_rows=20, ranker_fraction=0.2)
     log.metrics_from(_auc_report(i), "model", "mean_auc")
-    return log.read().select("run_id", "kind", "key", "value")
+    # values are text in the log; as numbers they compare across engines
+    return log.read().select("run_id", "kind", "key", F.round(F.col("value").cast("double") + 3e-10, 6).alias("value"))
+
+
+def _folder(i: Inputs) -> str:
+    return f"{scratch_root(i.spark)}/duskrank/{uuid.uuid4().hex}"
+
+
+def _split_files(i: Inputs) -> DataFrame:
+    """Written split, read back, with the holdout among the ranker's rows."""
+    path = _folder(i)
+    io.write_split(split.split_log(i.interactions, hot=i.hot_users), path)
+    parts = io.read_split(i.spark, path, with_holdout=True)
+    rows = [df.select("user_id", "item_id", "pos", F.lit(name).alias("part")) for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _pair_files(i: Inputs) -> DataFrame:
+    path = _folder(i)
+    i.test_pairs.write.csv(path, header=True)
+    return io.read_pairs(i.spark, path)
+
+
+def _submission_files(i: Inputs) -> DataFrame:
+    scored = i.popularity_scores().select("user_id", "item_id", F.round("timespent", 6).alias("score"))
+    path = io.write_submission(scored, _folder(i), "score")
+    return i.spark.read.csv(path, header=True, schema="user_id long, item_id long, predict double")
+
+
+def _feature_files(i: Inputs) -> DataFrame:
+    path = io.write_features(i.test_pairs.withColumn("pair", F.concat_ws("-", "user_id", "item_id")), _folder(i), "pairs")
+    return i.spark.read.parquet(path)
+
+
+def _table_files(i: Inputs) -> DataFrame:
+    """Interactions, items and users through their readers' schemas; one count and sum per table."""
+    tables = {}
+    for name, df, read in (
+        ("interactions", i.interactions, io.read_interactions),
+        ("items", i.items, io.read_items),
+        ("users", i.users, io.read_users),
+    ):
+        path = f"{_folder(i)}/{name}"
+        df.write.parquet(path)
+        tables[name] = read(i.spark, path)
+    sums = {"interactions": F.sum("pos"), "items": F.sum("source_id"), "users": F.sum("user_id")}
+    rows = [
+        df.agg(F.count(F.lit(1)).alias("n_rows"), sums[name].cast("long").alias("total")).withColumn("name", F.lit(name))
+        for name, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _cached(i: Inputs) -> DataFrame:
+    """A cached function's first and second answer; the second comes from the cache."""
+    calls = []
+
+    def popular(log: DataFrame) -> DataFrame:
+        calls.append(log)
+        return log.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.sum("like").alias("likes"))
+
+    cached = store.cached_table(_folder(i), popular)
+    first = cached(i.interactions).withColumn("answer", F.lit(1))
+    second = cached(i.interactions).withColumn("answer", F.lit(2))
+    return first.unionByName(second).withColumn("computed", F.lit(len(calls)))
+
+
+def _stored_model(i: Inputs) -> DataFrame:
+    """Tables of a model that is fitted once and then read from the store."""
+    models, fits = store.ModelStore(_folder(i)), []
+
+    def fit() -> dict[str, DataFrame]:
+        fits.append(1)
+        sums = i.like.groupBy(F.col("item_id").alias("id")).agg(F.sum("weight").alias("weight"))
+        return {"items": sums, "users": i.like.select(F.col("user_id").alias("id")).distinct()}
+
+    for _ in range(2):
+        model = models.fit("sums", {"scale": 1}, i.like, fit)
+    items = model["items"].select(F.lit("items").alias("side"), "id", "weight")
+    users = model["users"].select(F.lit("users").alias("side"), "id", F.lit(None).cast("double").alias("weight"))
+    return items.unionByName(users).withColumn("fits", F.lit(len(fits)))
 
 
 MODELS: dict[str, Callable[[Inputs], DataFrame]] = {
@@ -420,6 +500,13 @@ MODELS: dict[str, Callable[[Inputs], DataFrame]] = {
     "fingerprint": lambda i: store.fingerprint(i.interactions),
     "user_split": _user_split,
     "run_log": _run_log,
+    "split_files": _split_files,
+    "pair_files": _pair_files,
+    "submission_files": _submission_files,
+    "feature_files": _feature_files,
+    "table_files": _table_files,
+    "output_cache": _cached,
+    "model_cache": _stored_model,
 }
 
 

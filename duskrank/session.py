@@ -18,27 +18,13 @@ def local_session(cores: str = "8", app: str = "duskrank", memory: str = "12g")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
+        # skew joins are split at run time, also where the split costs one more shuffle
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return tune(spark)
-
-
-def tune(spark: SparkSession) -> SparkSession:
-    """Adaptive execution with skew-join splitting, also where the split costs one more shuffle.
-
-    A hot user, item or source is split at run time by the skew join; broadcast joins are chosen
-    from measured sizes by the adaptive planner and never forced on data that grows.
-    """
-    for key in (
-        "spark.sql.adaptive.enabled",
-        "spark.sql.adaptive.skewJoin.enabled",
-        "spark.sql.adaptive.coalescePartitions.enabled",
-        "spark.sql.adaptive.forceOptimizeSkewedJoin",
-    ):
-        spark.conf.set(key, "true")
     return spark
 
 

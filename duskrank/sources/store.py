@@ -28,12 +28,17 @@ RUN_LOG = T.StructType(
 def fingerprint(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Order-insensitive content hash: sum of row hashes plus the row count, one row (per group).
 
-    Every column takes part, by sorted name. To make it order-sensitive keep ``pos`` in the frame.
+    Every column takes part, by sorted name, as text with its length before it; a null has length -1. A
+    row's hash is the first 60 bits of an md5, which any engine can recompute. To make it order-sensitive
+    keep ``pos`` in the frame.
     """
-    columns = sorted(df.columns)
-    # a null and a neighbouring value must not trade places: nulls are hashed through their flag
-    parts = [F.col(c) for c in columns] + [F.col(c).isNull() for c in columns]
-    total = F.sum(F.xxhash64(*parts).cast("decimal(38,0)"))
+
+    def part(name: str):
+        text = F.col(name).cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-1:"))
+
+    row = F.md5(F.concat(*(part(c) for c in sorted(df.columns))).cast("binary"))
+    total = F.sum(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(20,0)"))
     return df.groupBy(*by).agg(F.coalesce(total, F.lit(0)).cast("string").alias("hash_sum"), F.count(F.lit(1)).alias("n_rows"))
 
 

@@ -9,6 +9,7 @@ from duskrank.models import als, ease, pairwise, sequence, svd
 from duskrank.models.blocks import layout
 from duskrank.operators import metrics, scoring
 from duskrank.plans import fleet
+from duskrank.plans import fleet
 
 SCHEMA = "user_id long, item_id long, weight double, datetime long, pos long"
 
@@ -173,9 +174,32 @@ def test_fleet_definition():
     assert len(fleet.SEARCH_FLEET) == 14
 
 
-def test_pseudo_items_must_not_collide(spark):
-    items = spark.createDataFrame([(1_000_001, 3)], "item_id long, source_id long")
-    train = spark.createDataFrame([(1, 1_000_001, 1.0, 1, 1)], SCHEMA)
+def test_more_item_blocks_than_buckets(planted):
+    train, test = planted
+    model = pairwise.fit_pairwise(train, 8, 20, "bpr", block=6, buckets=2, rate=0.1, local_epochs=10)
+    assert model["items"].count() == train.select("item_id").distinct().count()
+    scored = scoring.score_pairs_biased(test, model["users"], model["items"], "s")
+    assert auc(test, scored, "s") > 0.55
+
+
+def test_fit_does_not_follow_the_session(spark, planted):
+    train, _ = planted
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in ("3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        model = pairwise.fit_pairwise(train, 4, 2, "warp", block=20)
+        found.append(np.vstack(model["items"].orderBy("id").toPandas().features))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    np.testing.assert_allclose(*found, atol=1e-9)
+
+
+def test_pseudo_items_with_large_ids(spark, planted):
+    train, _ = planted
+    big = train.withColumn("item_id", F.col("item_id") + 1_000_000)
+    items = big.select("item_id").distinct().withColumn("source_id", F.col("item_id") % 5)
     spec = next(m for m in fleet.FLEET if m.scope == "pseudo")
-    with pytest.raises(ValueError):
-        fleet.scoped(train, spec, items)
+    params = fleet.FleetParams(pairwise_factors=4, pairwise_epochs=2, blocks=2)
+    model = fleet.fit_model(spec, big, items, params)
+    ids = {r["id"] for r in model["items"].select("id").collect()}
+    assert ids == {r["item_id"] for r in items.collect()}
+    assert ids.isdisjoint(range(5)) and model["users"].count() == big.select("user_id").distinct().count()
