@@ -1,10 +1,11 @@
 """Order-dependent primitives that stay exact when one key holds most of the rows.
 
 A plain ``Window.partitionBy(key).orderBy(x)`` puts a whole key into one task. Here a key with more
-than ``limit`` rows is cut into consecutive slices of its order column by a fixed monotone function,
-every slice is ranked on its own, and the totals of the earlier slices of the key are added. Keys
-below the limit form a single slice and cost no extra shuffle of the big side. The list of hot keys
-has at most rows/limit entries, which bounds what is broadcast.
+than ``limit`` rows is cut into consecutive slices of its order column (of fixed width for positions,
+by quantiles of the key's own values for running totals), every slice is ranked on its own, and the
+totals of the earlier slices of the key are added. Keys below the limit form a single slice and cost no
+extra shuffle of the big side. The list of hot keys has at most rows/limit entries, which bounds what is
+broadcast.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from duskrank.session import cut
 
 HOT_ROWS = 1 << 20
 _BUCKETS = 1024
+# slices by value of a hot key
+SLICES = 256
 
 # How a caller says which keys are hot: True = find them inside the plan, False = known to have none,
 # a DataFrame = these keys (a superset does no harm).
@@ -57,13 +60,30 @@ def integer_slice(order: Column, width: int) -> Column:
     return order - F.pmod(order, F.lit(width))
 
 
-def value_slice(order: Column) -> Column:
-    """Monotone slice number of a double, on a signed log scale; nulls first, NaN last."""
-    value = order.cast("double")
-    scaled = F.when(F.isnan(value), F.lit(1000.0)).otherwise(
-        F.signum(value) * F.least(F.log1p(F.abs(value)), F.lit(1000.0))
+def _mark_by_value(df: DataFrame, keys: Sequence[str], hot: Hot, order: str, limit: int):
+    """As ``_mark_hot``, with slices of about equal size: their limits are quantiles of the hot key's own rows.
+
+    Nulls are in the first slice, NaN in the last. A hot key brings ``SLICES`` limits; they are approximate
+    and written once, so that both results are cut alike.
+    """
+    found = hot_keys(df, keys, limit) if hot is True else hot
+    on = [k for k in found.columns if k in keys]
+    hot_rows = df.join(F.broadcast(found.select(*on).distinct()), on)
+    value = F.col(order).cast("double")
+    shares = F.array(*[F.lit(k / SLICES) for k in range(1, SLICES)])
+    limits = hot_rows.groupBy(*keys).agg(
+        F.percentile_approx(F.when(~F.isnan(value), value), shares, F.lit(10 * SLICES)).alias("_limits")
     )
-    return F.coalesce(F.floor(scaled * 256).cast("long"), F.lit(-1_000_000))
+
+    limits = cut(limits, "limits")
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        place = F.when(value.isNull(), -1).when(F.isnan(value), SLICES)
+        place = place.otherwise(F.size(F.filter("_limits", lambda x: x < value)))
+        rows = rows.join(F.broadcast(limits), list(keys), "left")
+        return rows.withColumn("_slice", F.when(F.col("_limits").isNotNull(), place).otherwise(0)).drop("_limits")
+
+    return sliced(df), sliced(hot_rows)
 
 
 def positions(
@@ -130,7 +150,7 @@ def running_totals(
 
     if hot is False:
         return total(df, keys)
-    marked, hot_rows = _mark_hot(df, keys, hot, value_slice(F.col(order)), limit)
+    marked, hot_rows = _mark_by_value(df, keys, hot, order, limit)
     sizes = hot_rows.groupBy(*keys, "_slice").agg(*[F.sum(m).alias(m) for m in measures])
     out = total(marked, [*keys, "_slice"]).join(
         _slice_offsets(sizes, keys, measures), [*keys, "_slice"], "left"

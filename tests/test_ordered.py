@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from duskrank.functions.ordered import (
+    SLICES,
+    _mark_by_value,
     dense_index,
     detect_hot,
     nearest_quantiles,
@@ -71,6 +73,17 @@ def test_running_totals_all_paths(log):
         pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 
+def test_slices_follow_the_values(spark):
+    """Scores in a narrow range are cut as finely as any others, and the totals stay exact."""
+    rows = [(0, 0.49 + 0.02 * k / 5000) for k in range(5000)] + [(1, 1e6 + k) for k in range(40)]
+    df = spark.createDataFrame(rows, "user_id long, v double").withColumn("c", F.lit(1))
+    marked, _ = _mark_by_value(df, ["user_id"], True, "v", 100)
+    sizes = marked.filter("user_id = 0").groupBy("_slice").count().toPandas()["count"]
+    assert len(sizes) > 200 and sizes.max() < 2 * 5000 / SLICES + 20
+    got = running_totals(df, ["user_id"], "v", ["c"], hot=True, limit=100).filter("user_id = 0").toPandas()
+    assert (got.sort_values("v")["c_before"].to_numpy() == range(5000)).all() and (got["c_total"] == 5000).all()
+
+
 def _nearest(values, percent):
     values = sorted(v for v in values if v is not None and not math.isnan(v))
     return values[int(math.floor((len(values) - 1) * (percent / 100.0) + 0.5))] if values else None
