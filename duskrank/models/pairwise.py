@@ -1,4 +1,4 @@
-"""Pairwise factor models with BPR or WARP loss, trained in user buckets.
+"""Factor models with negative samples (BPR, WARP or skip-gram loss), trained in user buckets.
 
 A round visits every (user bucket, item block) cell: the buckets work in parallel, each on one block, and
 the blocks rotate within the round. A task goes a few epochs over its cell, updating its users' vectors
@@ -19,6 +19,8 @@ from duskrank.session import cut
 # fixed values: most negatives tried per positive, margin of the ranking loss
 MAX_DRAWS = 10
 MARGIN = 1.0
+# negatives per positive of the skip-gram loss
+NEGATIVES = 5
 _STATE = "kind string, id int, n int, features array<double>, bias double, seen double, bias_seen double"
 
 
@@ -79,7 +81,7 @@ def _trainer(loss: str, epochs: range, seed: int, rate: float, batch: int):
         i_at = np.searchsorted(V["id"], liked["i"].to_numpy())
         weight = liked["weight"].to_numpy(dtype="float64")
         owned = np.unique(u_at * len(V["id"]) + i_at)
-        tries = MAX_DRAWS if loss == "warp" else 1
+        tries = {"warp": MAX_DRAWS, "skipgram": NEGATIVES, "bpr": 1}[loss]
         liked_u, liked_i = liked["u"].to_numpy(), liked["i"].to_numpy()
 
         def step(side, at, grad, bias_grad):
@@ -109,6 +111,16 @@ def _trainer(loss: str, epochs: range, seed: int, rate: float, batch: int):
             uv = U["x"][ua]
             good = (uv * V["x"][ia]).sum(axis=1) + V["b"][ia]
             bad = np.einsum("rk,rtk->rt", uv, V["x"][cand]) + V["b"][cand]
+            if loss == "skipgram":
+                # logistic loss, without biases: the pair is real, the drawn pairs are not
+                up = w / (1.0 + np.exp(np.clip(good, -50, 50)))
+                down = fresh * w[:, None] / (1.0 + np.exp(np.clip(-bad, -50, 50)))
+                pv, nv = V["x"][ia].copy(), V["x"][cand].copy()
+                step(U, ua, up[:, None] * pv - np.einsum("rt,rtk->rk", down, nv), np.zeros(len(ua)))
+                push = -(down[:, :, None] * uv[:, None, :]).reshape(-1, uv.shape[1])
+                at_items = np.concatenate([ia, cand.ravel()])
+                step(V, at_items, np.concatenate([up[:, None] * uv, push]), np.zeros(len(at_items)))
+                continue
             if loss == "warp":
                 hit = fresh & (bad > good[:, None] - MARGIN)
                 first = hit.argmax(axis=1)
@@ -200,7 +212,7 @@ def fit_pairwise(
     weights get vectors too. Tasks exchange item vectors after every ``local_epochs`` epochs, and the number
     of user ``buckets`` decides how many copies of a block are merged then: it is a parameter of the fit.
     """
-    if loss not in ("bpr", "warp"):
+    if loss not in ("bpr", "warp", "skipgram"):
         raise ValueError(f"unknown loss {loss!r}")
     blocks: Blocks = layout(train, block, buckets)
     users = _initial(blocks.users, "u", n_factors, seed)

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskrank.functions.ordered import HOT_ROWS, Hot, positions
+from duskrank.models.blocks import BUCKETS
+from duskrank.models.pairwise import fit_pairwise
 from duskrank.operators.scoring import score_pairs
 from duskrank.operators.vectors import mean_vectors
 from duskrank.session import cut
 
-# fixed value: most items per training sentence, also the library's own cutting length
+# items per row of the histories as text
 SENTENCE = 1000
-SENTENCES_PER_TASK = 100_000
 
 
 def sentences(train: DataFrame, hot: Hot = True, limit: int = HOT_ROWS) -> DataFrame:
     """Histories in ``pos`` order as arrays of item ids, at most SENTENCE items per row.
 
-    The cut is where the trainer would cut anyway, so a very long history never becomes one array.
+    A view of the histories for reading; the fit takes them whole, from ``context_pairs``. The cut keeps a very
+    long history from becoming one array.
     """
     placed = positions(train.select("user_id", "item_id", "pos"), hot=hot, limit=limit)
     chunk = F.floor((F.col("seq") - 1) / SENTENCE)
@@ -32,6 +32,26 @@ def sentences(train: DataFrame, hot: Hot = True, limit: int = HOT_ROWS) -> DataF
     )
 
 
+def context_pairs(
+    train: DataFrame, window: int = 5, min_count: int = 5, hot: Hot = True, limit: int = HOT_ROWS
+) -> DataFrame:
+    """(user_id: centre item, item_id: context item, weight: how often) within ``window`` places of a history.
+
+    Items rarer than ``min_count`` are taken out of the histories first. Neighbours meet by user and
+    place, so a very long history spreads over as many keys as it has rows.
+    """
+    rows = train.select("user_id", "item_id", "pos").dropna(subset=["user_id", "item_id"])
+    frequent = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_count)
+    placed = positions(rows.join(frequent.select("item_id"), "item_id", "left_semi"), hot=hot, limit=limit)
+    placed = cut(placed.select("user_id", "item_id", "seq"), "places")
+    ahead = placed.withColumn("_k", F.explode(F.array(*map(F.lit, range(1, window + 1)))))
+    ahead = ahead.select("user_id", F.col("item_id").alias("a"), (F.col("seq") + F.col("_k")).alias("seq"))
+    met = ahead.join(placed.withColumnRenamed("item_id", "b"), ["user_id", "seq"])
+    counts = met.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    both = counts.unionByName(counts.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    return both.groupBy(F.col("a").alias("user_id"), F.col("b").alias("item_id")).agg(F.sum("weight").alias("weight"))
+
+
 def fit_sequence(
     train: DataFrame,
     n_factors: int = 128,
@@ -39,32 +59,17 @@ def fit_sequence(
     min_count: int = 5,
     window: int = 5,
     seed: int = 42,
-    partitions: int | None = None,
+    buckets: int = BUCKETS,
     hot: Hot = True,
 ) -> dict[str, DataFrame]:
     """Skip-gram vectors per item (id, features); rarer items than ``min_count`` get none.
 
-    With several ``partitions`` each trains on its share per epoch and the vectors are averaged; by
-    default there is one per SENTENCES_PER_TASK sentences.
+    The counted context pairs are the entries of a sparse matrix, fitted with negative samples in cells of
+    centre buckets against context blocks: neither the vectors nor the vocabulary pass through the driver.
     """
-    texts = cut(sentences(train, hot), "sentences")
-    if partitions is None:
-        partitions = max(1, -(-texts.count() // SENTENCES_PER_TASK))
-    model = Word2Vec(
-        vectorSize=n_factors,
-        maxIter=epochs,
-        minCount=min_count,
-        windowSize=window,
-        seed=seed,
-        numPartitions=partitions,
-        maxSentenceLength=SENTENCE,
-        inputCol="items",
-        outputCol="vector",
-    ).fit(texts)
-    vectors = model.getVectors().select(
-        F.col("word").cast("long").alias("id"), vector_to_array("vector").alias("features")
-    )
-    return {"items": vectors}
+    pairs = context_pairs(train, window, min_count, hot)
+    model = fit_pairwise(pairs, n_factors, epochs, "skipgram", seed, buckets=buckets)
+    return {"items": model["users"].select("id", "features")}
 
 
 def user_vectors(history: DataFrame, item_vectors: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def fit_model(
         "pairwise": dict(n_factors=p.pairwise_factors, epochs=p.pairwise_epochs, loss=spec.loss, seed=p.seed, buckets=p.blocks),
         "ease": dict(regularization=p.ease_regularization),
         "svd": dict(n_factors=p.svd_factors, seed=p.seed, buckets=p.blocks),
-        "sequence": dict(n_factors=p.sequence_factors, epochs=p.sequence_epochs, min_count=p.sequence_min_count, seed=p.seed),
+        "sequence": dict(n_factors=p.sequence_factors, epochs=p.sequence_epochs, min_count=p.sequence_min_count, seed=p.seed, buckets=p.blocks),
     }[spec.kind]
     fit = {
         "als": als.fit_als,

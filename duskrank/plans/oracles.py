@@ -45,6 +45,9 @@ _CTES: dict[str, str] = {
     "w_like": """
         SELECT user_id, item_id, CAST("like" - dislike AS DOUBLE) AS weight, CAST(1 AS BIGINT) AS datetime, pos
         FROM als WHERE "like" + dislike >= 1""",
+    "placed": """
+        SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS seq FROM w_like
+        WHERE item_id IN (SELECT item_id FROM w_like GROUP BY item_id HAVING count(*) >= 5)""",
     "rekeyed": """
         SELECT w.user_id, i.source_id AS item_id, w.weight, w.datetime, w.pos
         FROM w_like w JOIN items i ON i.item_id = w.item_id""",
@@ -408,6 +411,10 @@ _SELECTS: dict[str, str] = {
     "model_cache": """
         SELECT 'items' AS side, item_id AS id, sum(weight) AS weight, 1 AS fits FROM w_like GROUP BY item_id
         UNION ALL SELECT DISTINCT 'users', user_id, NULL, 1 FROM w_like""",
+    "sequence_pairs": """
+        SELECT a.item_id AS centre, b.item_id AS context, CAST(count(*) AS DOUBLE) AS weight
+        FROM placed a JOIN placed b ON a.user_id = b.user_id AND abs(a.seq - b.seq) BETWEEN 1 AND 5
+        GROUP BY a.item_id, b.item_id""",
     "ease_gram": """
         SELECT a.item_id AS item_j, b.item_id AS item_i, round(sum(a.weight * b.weight) + 3e-10, 6) AS g
         FROM (SELECT user_id, item_id, sum(weight) AS weight FROM w_like GROUP BY user_id, item_id) a

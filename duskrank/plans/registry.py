@@ -288,6 +288,9 @@ RELATIONAL: dict[str, Callable[[Inputs], DataFrame]] = {
     "source_fill": _fixed_source,
     "sequence_fill": _fixed_sequence,
     "sequence_sentences": _sentences,
+    "sequence_pairs": lambda i: sequence.context_pairs(i.like, hot=i.hot_users).select(
+        F.col("user_id").alias("centre"), F.col("item_id").alias("context"), "weight"
+    ),
     "ease_gram": lambda i: ease.gram_table(i.like),
     "user_auc": _timespent_auc,
     "mean_auc": lambda i: metrics.mean_auc(i.popularity_scores(), hot=i.hot_users),
