@@ -62,19 +62,33 @@ def ranking_gradients(df: DataFrame, draw: int, seed: int, permutations: int, de
     return out.withColumn("grad", grad).withColumn("hess", hess).drop("_noisy", *helpers)
 
 
+# trees that one plan adds up
+TREES_PER_PLAN = 50
+
+
 @dataclass
 class FittedRanker:
     trees: list[DecisionTreeRegressionModel]
     leaves: list[list[float]]
     features: str = "features"
 
-    def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
-        out, total = df, F.lit(0.0)
-        for k, (tree, values) in enumerate(zip(self.trees, self.leaves)):
-            tree = tree.copy().setFeaturesCol(self.features).setPredictionCol("").setLeafCol(f"_leaf{k}")
-            out = tree.transform(out)
-            total = total + _leaf_value(f"_leaf{k}", values)
-        return out.withColumn(output, total).drop(*[f"_leaf{k}" for k in range(len(self.trees))])
+    def predict(self, df: DataFrame, output: str = "prediction", portion: int = TREES_PER_PLAN) -> DataFrame:
+        """Adds the sum of the trees' leaf values; after every ``portion`` trees the sum so far is written.
+
+        That bounds the plan however many trees there are.
+        """
+        out = df.withColumn(output, F.lit(0.0))
+        for first in range(0, len(self.trees), portion):
+            if first:
+                out = cut(out, "partial_scores")
+            total, columns = F.col(output), []
+            for k in range(first, min(first + portion, len(self.trees))):
+                columns.append(f"_leaf{k}")
+                tree = self.trees[k].copy().setFeaturesCol(self.features).setPredictionCol("").setLeafCol(columns[-1])
+                out = tree.transform(out)
+                total = total + _leaf_value(columns[-1], self.leaves[k])
+            out = out.withColumn(output, total).drop(*columns)
+        return out
 
 
 def _leaf_value(column: str, values: Sequence[float]) -> Column:

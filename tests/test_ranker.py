@@ -81,3 +81,13 @@ def test_search(rows):
     seen = []
     out = search.search(rows, rows, trials, parallelism=2, on_trial=seen.append).collect()
     assert len(out) == len(seen) == 2 and out[0].mean_auc >= out[1].mean_auc > 0.5
+
+
+def test_many_trees_are_added_in_portions(rows):
+    model = ranker.RankerSpec(rounds=4, depth=3).fit(rows)
+    key = ["user_id", "item_id"]
+    one = model.predict(rows, "a").join(model.predict(rows, "b", portion=1).select(*key, "b"), key)
+    assert one.agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] < 1e-12
+    large = ranker.FittedRanker(model.trees * 40, model.leaves * 40)
+    many = large.predict(rows.limit(200), "c").join(model.predict(rows, "a").select(*key, "a"), key)
+    assert many.agg(F.max(F.abs(F.col("c") - 40 * F.col("a")))).first()[0] < 1e-9
