@@ -1,8 +1,10 @@
-"""Connected components of a table of links, by alternating large and small stars.
+"""Connected components of a table of links, by contraction.
 
-Every step is one aggregation and one join over the remaining links and is written to the scratch
-folder, so lost executors cost a step at most. Links that already form stars are done after two steps;
-others need a number of steps logarithmic in the length of their paths.
+In every round a node hops to the neighbour with the least hash (or stays, if its own is the least), and
+the links are renamed by the hops; links that became loops vanish. A star is gone after two rounds, and
+any other graph loses a constant share of its nodes per round, in whatever order its nodes are numbered.
+The hops of all rounds are composed at the end, the small ones first. Every round is written to the
+scratch folder, so lost executors cost a round at most.
 """
 
 from __future__ import annotations
@@ -13,35 +15,32 @@ from pyspark.sql import functions as F
 from duskrank.session import cut
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def _links(a: str, b: str, edges: DataFrame) -> DataFrame:
+    named = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
+    return cut(named, "links")
 
 
-def _with_least(neighbours: DataFrame) -> DataFrame:
-    """Adds ``m``, the least of ``u`` and its neighbours."""
-    least = neighbours.groupBy("u").agg(F.min("v").alias("_least"))
-    return neighbours.join(least, "u").select("u", "v", F.least("u", "_least").alias("m"))
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _hops(edges: DataFrame) -> DataFrame:
+    """(node, goal) for every node with a link."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    best = both.groupBy(F.col("u").alias("node")).agg(F.min_by("v", F.xxhash64("v")).alias("_best"))
+    lower = F.xxhash64("_best") < F.xxhash64("node")
+    return cut(best.select("node", F.when(lower, F.col("_best")).otherwise(F.col("node")).alias("goal")), "hops")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of ``links`` (two long columns u, v); a component's name is its least node."""
-    edges = cut(
-        links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"
-    )
-    state = _state(edges)
-    while state[0]:
-        near = _with_least(_both_ways(edges))
-        large = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        near = _with_least(large)  # u > v in every row, so these are the neighbours below u
-        lower = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = lower.unionByName(near.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = cut(small, "links")
-        before, state = state, _state(edges)
-        if state == before:
-            break
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    """(node, component) for the nodes of ``links`` (two long columns u, v); a component's name is one of its nodes."""
+    edges, rounds = _links("u", "v", links), []
+    while edges.limit(1).count():
+        hops = _hops(edges)
+        rounds.append(hops)
+        met = edges.join(hops.select(F.col("node").alias("u"), F.col("goal").alias("a")), "u")
+        met = met.join(hops.select(F.col("node").alias("v"), F.col("goal").alias("b")), "v")
+        edges = _links("a", "b", met)
+    if not rounds:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    named = rounds[-1].select("node", F.col("goal").alias("component"))
+    for hops in reversed(rounds[:-1]):
+        later = named.select(F.col("node").alias("goal"), F.col("component").alias("_later"))
+        named = hops.join(later, "goal", "left").select("node", F.coalesce("_later", "goal").alias("component"))
+    return named
