@@ -392,6 +392,13 @@ _SELECTS: dict[str, str] = {
           UNION ALL SELECT 'metric', 'predictions_rocauc', avg(rocauc) FROM auc_predictions
           UNION ALL SELECT 'metric', 'timespent_rocauc', avg(rocauc) FROM auc_timespent
           UNION ALL SELECT 'metric', 'neg_time_rocauc', avg(rocauc) FROM auc_neg_time)""",
+    "cold_flags": """
+        SELECT m.model, p.user_id, p.item_id, u.user_id IS NULL OR i.item_id IS NULL AS is_cold
+        FROM test_pairs p
+        CROSS JOIN (SELECT unnest(['predict_als_item_like', 'predict_svd_like', 'predict_lfm_item_like',
+                                   'predict_lfm_source_add_like']) AS model) m
+        LEFT JOIN (SELECT DISTINCT user_id FROM w_like) u ON u.user_id = p.user_id
+        LEFT JOIN (SELECT DISTINCT item_id FROM w_like) i ON i.item_id = p.item_id""",
     "split_files": """
         SELECT user_id, item_id, pos, 'als' AS part FROM als
         UNION ALL SELECT user_id, item_id, pos, 'cb' FROM cb

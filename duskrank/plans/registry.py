@@ -343,6 +343,17 @@ def _scored_by(name: str) -> Callable[[Inputs], DataFrame]:
     return build
 
 
+def _cold_flags(i: Inputs) -> DataFrame:
+    """Which holdout pairs the fitted tables of four kinds of model know: (model, user_id, item_id, is_cold)."""
+    train, out = cut(i.like, "set"), []
+    for name in ("predict_als_item_like", "predict_svd_like", "predict_lfm_item_like", "predict_lfm_source_add_like"):
+        spec = next(m for m in fleet.FLEET if m.name == name)
+        model = fleet.fit_model(spec, train, i.items, _SMALL, hot=i.hot_users)
+        scored = fleet.score_model(spec, model, i.test_pairs, train, i.items)
+        out.append(scored.select(F.lit(name).alias("model"), "user_id", "item_id", "is_cold"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _vectors(i: Inputs) -> tuple[DataFrame, DataFrame]:
     """Assembled ranker rows: (rows of the ranker part, holdout rows)."""
     tables = {name: cut(df, name) for name, df in i.statistics().items()}
@@ -503,6 +514,7 @@ MODELS: dict[str, Callable[[Inputs], DataFrame]] = {
     "fingerprint": lambda i: store.fingerprint(i.interactions),
     "user_split": _user_split,
     "run_log": _run_log,
+    "cold_flags": _cold_flags,
     "split_files": _split_files,
     "pair_files": _pair_files,
     "submission_files": _submission_files,
