@@ -38,6 +38,7 @@ WINDOW = 2
 CUTS = 3
 MIN_LINES = 2
 MIN_WORDS = 16
+SALT_ROWS = 512
 
 _ENDS = re.compile(r"(?<=[.!?])(?= )|(?<=\n)")
 _SEEDS = "array<struct<hash: bigint, pos: int, n: int>>"
@@ -136,7 +137,14 @@ def _candidates(keyed: DataFrame) -> DataFrame:
     return cut(groups, "candidates")
 
 
-def _rebuilt(schema: T.StructType) :
+def _salted(pairs: DataFrame) -> DataFrame:
+    """Adds ``salt``: documents that share an original are spread over groups of about ``SALT_ROWS``."""
+    sizes = pairs.groupBy("first_key").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("_salts"))
+    salted = pairs.join(sizes, "first_key").withColumn("salt", F.pmod(F.xxhash64("_key"), F.col("_salts")))
+    return cut(salted.drop("_salts"), "salted")
+
+
+def _rebuilt(schema: T.StructType):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
@@ -162,11 +170,12 @@ def dedup_lines(docs: DataFrame, removed: str | None = None) -> DataFrame:
     """``docs`` with repeated chunks removed from ``text``; ``removed`` names a column for the number of removed lines."""
     # one shuffle by key serves the comparison's two sides and the result
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text")).repartition("_key")
-    pairs = _candidates(docs.select("doc_id", "text").withColumn("_key", F.xxhash64("doc_id", "text")))
+    pairs = _salted(_candidates(docs.select("doc_id", "text").withColumn("_key", F.xxhash64("doc_id", "text"))))
     one = keyed.groupBy("_key").agg(F.first("text").alias("text"))
     mine = pairs.join(one, "_key")
     original = one.select(F.col("_key").alias("first_key"), F.col("text").alias("original"))
-    both = mine.join(original, "first_key").select("_key", "first_key", "text", "original", "found")
+    original = original.join(pairs.select("first_key", "salt").distinct(), "first_key")
+    both = mine.join(original, ["first_key", "salt"]).select("_key", "first_key", "text", "original", "found")
     places = both.mapInArrow(_compared, "_key long, places array<int>")
     gone = places.groupBy("_key").agg(F.flatten(F.collect_list("places")).alias("_gone")).filter(F.size("_gone") > 0)
     joined = keyed.join(gone, "_key", "left")
