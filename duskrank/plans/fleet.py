@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from duskrank.functions.ordered import Hot
 from duskrank.models import als, ease, pairwise, sequence, svd
 from duskrank.operators import metrics, scoring, split, weights
-from duskrank.sources.store import ModelStore
+from duskrank.sources.store import ModelStore, fingerprint_value, hash_dict, read_if_complete
 
 
 @dataclass(frozen=True)
@@ -118,8 +118,12 @@ def fit_model(
     p: FleetParams,
     store: ModelStore | None = None,
     hot: Hot = True,
+    content: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Fitted tables of one model, from the store when the same fit was done before."""
+    """Fitted tables of one model, from the store when the same fit was done before.
+
+    ``content`` is the fingerprint of what the model is fitted on, if it is known already.
+    """
     own = scoped(train, spec, items)
     if spec.kind == "ease":
         # the fleet's definition, not the fit's: the model knows the most frequent items or sources only
@@ -141,7 +145,9 @@ def fit_model(
     if store is None:
         model = fit(own, **params)
     else:
-        model = store.fit(spec.kind, params, own, lambda: fit(own, **params))
+        caps = {"items": p.ease_items, "sources": p.ease_sources} if spec.kind == "ease" else {}
+        named = {**params, **caps, "scope": spec.scope}
+        model = store.fit(spec.kind, named, own, lambda: fit(own, **params), content=content)
     if spec.scope == "pseudo":
         # pairs hold items only: their vectors get the plain ids back, those of pseudo-items are not needed
         known = model["items"].filter(F.col("id.kind") == weights.ITEM)
@@ -183,21 +189,26 @@ def run_fleet(
 
     ``pairs`` holds the distinct pairs of all sets to be scored: a pair's score does not depend on the
     set it is in, so each model scores once. The long scores of every model are written as they are
-    made and pivoted together at the end.
+    made and pivoted together at the end. Their folders are named after the contents of the sets, items and
+    pairs and after the parameters, so a rerun goes on where the last one stopped.
     """
     spark = pairs.sparkSession
-    path = f"{folder}/scores"
+    # every table is fingerprinted once, however many models use it
+    prints = {name: fingerprint_value(sets[name]) for name in sorted({spec.train_set for spec in fleet})}
+    on_items, on_pairs = fingerprint_value(items), fingerprint_value(pairs)
+    paths = []
     for spec in fleet:
-        model = fit_model(spec, sets[spec.train_set], items, params, store, hot)
+        content = hash_dict({"train": prints[spec.train_set], "items": on_items})
+        key = hash_dict({**asdict(params), **asdict(spec), "content": content, "pairs": on_pairs})
+        paths.append(f"{folder}/scores/{spec.name}-{key[:16]}")
+        if read_if_complete(spark, paths[-1]) is not None:
+            continue
+        model = fit_model(spec, sets[spec.train_set], items, params, store, hot, content)
         scored = score_model(spec, model, pairs, sets[spec.train_set], items)
         scored.unpivot(["user_id", "item_id", "is_cold"], list(spec.outputs), "model", "score").write.mode(
             "overwrite"
-        ).parquet(f"{path}/{spec.name}")
-    long = spark.read.parquet(*[f"{path}/{spec.name}" for spec in fleet])
+        ).parquet(paths[-1])
+    long = spark.read.parquet(*paths)
     names = [name for spec in fleet for name in spec.outputs]
     cold = metrics.cold_share(long.filter(F.col("model").isin([s.name for s in fleet])), ["model"])
     return scoring.pivot_scores(long, names), cold
-
-
-def describe(params: FleetParams) -> dict[str, Any]:
-    return asdict(params)

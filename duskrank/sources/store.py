@@ -94,10 +94,13 @@ class ModelStore:
         train: DataFrame,
         fit: Callable[[], Mapping[str, DataFrame]],
         extra: Mapping[str, DataFrame] | None = None,
+        content: str | None = None,
     ) -> dict[str, DataFrame]:
+        """``content`` names the training data where the caller knows its fingerprint; else it is computed here."""
         spark = train.sparkSession
         inputs = {"train": train, **(extra or {})}
-        key = hash_dict({"kind": kind, **params, **{f"in_{k}": fingerprint_value(v) for k, v in inputs.items()}})
+        names = {"content": content} if content else {f"in_{k}": fingerprint_value(v) for k, v in inputs.items()}
+        key = hash_dict({"kind": kind, **params, **names})
         base = f"{self.folder}/{kind}/{key}"
         listing = read_if_complete(spark, f"{base}/tables")
         if listing is None:
