@@ -179,19 +179,22 @@ def apply(docs: DataFrame, **limits) -> DataFrame:
         F.lit(True).alias("depleted"),
     )
     found = verdicts(counted, **limits).unionByName(failed.distinct())
-    found = found.groupBy("_host", "_key").agg(F.first("removed", True).alias("removed"), F.max("depleted").alias("depleted"))
-    keyed = docs.withColumn("_text", text_key(F.coalesce("text", F.lit(""))))
-    on = keyed["source"].eqNullSafe(found["_host"]) & (keyed["_text"] == found["_key"])
-    joined = keyed.join(found, on, "left").filter(~F.coalesce("depleted", F.lit(False)))
+    # names that no column of a corpus has
+    found = found.groupBy(F.col("_host").alias("_lq_host"), F.col("_key").alias("_lq_key")).agg(
+        F.first("removed", True).alias("_lq_removed"), F.max("depleted").alias("_lq_depleted")
+    )
+    keyed = docs.withColumn("_lq_text", text_key(F.coalesce("text", F.lit(""))))
+    on = keyed["source"].eqNullSafe(found["_lq_host"]) & (keyed["_lq_text"] == found["_lq_key"])
+    joined = keyed.join(found, on, "left").filter(~F.coalesce("_lq_depleted", F.lit(False)))
 
     def normalised(line: Column) -> Column:
         return ascii_lower(F.array_join(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), " "))
 
-    lines = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("removed", F.xxhash64(normalised(x))))
-    text = F.when(F.col("removed").isNotNull(), F.array_join(lines, "\n")).otherwise(F.col("text"))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_lq_removed", F.xxhash64(normalised(x))))
+    text = F.when(F.col("_lq_removed").isNotNull(), F.array_join(lines, "\n")).otherwise(F.col("text"))
     joined = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        changed = F.col("removed").isNotNull()
+        changed = F.col("_lq_removed").isNotNull()
         joined = joined.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")))
     return joined.select(*docs.columns)
 

@@ -114,15 +114,15 @@ def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """
     half = F.col("taken") * 2 >= F.col("size") * (2 * F.floor(F.col("taken") / F.col("size")) + 1)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size")) + half.cast("int")).otherwise(0)
-    times = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_src"))
-    times = times.agg(F.max(copies).cast("int").alias("_copies")).filter("_copies > 0")
-    sized = docs.withColumn("_words", n_words(F.col("text")))
+    times = mixed.groupBy(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("source").alias("_mix_source"))
+    times = times.agg(F.max(copies).cast("int").alias("_mix_copies")).filter("_mix_copies > 0")
+    sized = docs.withColumn("_mix_words", n_words(F.col("text")))
     on = (
-        sized["doc_id"].eqNullSafe(times["_id"])
-        & (sized["_words"] == times["_size"])
-        & sized["source"].eqNullSafe(times["_src"])
+        sized["doc_id"].eqNullSafe(times["_mix_id"])
+        & (sized["_mix_words"] == times["_mix_size"])
+        & sized["source"].eqNullSafe(times["_mix_source"])
     )
-    rows = sized.join(times, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    rows = sized.join(times, on).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
     return rows.select(*docs.columns)
 
 

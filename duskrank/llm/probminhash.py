@@ -257,14 +257,14 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = cut(NearDuplicates(docs, threshold).classes(), "classes").filter("digest IS NOT NULL")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "digest")).alias("best")
     chosen = classes.groupBy("class_node").agg(best).select(
-        F.col("best.doc_id").alias("_id"), F.col("best.digest").alias("_digest_kept")
+        F.col("best.doc_id").alias("_near_id"), F.col("best.digest").alias("_near_digest")
     )
-    copies = classes.groupBy(F.col("doc_id").alias("_i"), F.col("digest").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
-    on = chosen["_id"].eqNullSafe(copies["_i"]) & (chosen["_digest_kept"] == copies["_d"])
-    chosen = chosen.join(copies, on).select("_id", "_digest_kept", "_n")
-    keyed = docs.withColumn("_digest", F.unhex(F.md5(F.col("text").cast("binary"))))
-    on = keyed["doc_id"].cast("long").eqNullSafe(chosen["_id"]) & (keyed["_digest"] == chosen["_digest_kept"])
+    copies = classes.groupBy(F.col("doc_id").alias("_i"), F.col("digest").alias("_d")).agg(F.count(F.lit(1)).alias("_near_n"))
+    on = chosen["_near_id"].eqNullSafe(copies["_i"]) & (chosen["_near_digest"] == copies["_d"])
+    chosen = chosen.join(copies, on).select("_near_id", "_near_digest", "_near_n")
+    keyed = docs.withColumn("_near_text", F.unhex(F.md5(F.col("text").cast("binary"))))
+    on = keyed["doc_id"].cast("long").eqNullSafe(chosen["_near_id"]) & (keyed["_near_text"] == chosen["_near_digest"])
     met = keyed.join(chosen, on)
-    once, repeated = met.filter("_n = 1"), met.filter("_n > 1").dropDuplicates(["_id", "_digest"])
+    once, repeated = met.filter("_near_n = 1"), met.filter("_near_n > 1").dropDuplicates(["_near_id", "_near_text"])
     kept = once.select(*docs.columns).unionByName(repeated.select(*docs.columns))
     return kept.unionByName(docs.filter("text IS NULL"))
