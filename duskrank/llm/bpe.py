@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from duskrank.llm.common import slices
 
 # Matches kept per Python worker, a memory bound only: later unknown matches are merged again.
-CACHED_MATCHES = 400_000
+CACHED_MATCHES = 250_000
 NONE = 1 << 62
 
 

@@ -28,7 +28,7 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that a slice holds about ``limit`` bytes of ``column`` (or a single row)."""
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(column)).to_pylist()

@@ -39,7 +39,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 45, 7
 COMPONENTS = BANDS * ROWS
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 _U = np.uint64
 _GOLD, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -137,7 +137,7 @@ def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in slices(batches, "text"):
         texts = batch.column("text").to_pylist()
         found = [shingles(t) if t else np.empty(0, dtype=_U) for t in texts]
         keys = band_keys(signatures(found))
