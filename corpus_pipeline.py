@@ -47,8 +47,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids, and whether decoding gives the text's bytes back."""
     path = public_tokenizers.path(RANKS)
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN, keep_text=True)
-    whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    # the text's hash goes along in place of the text, so a task holds no text beside its ids
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("text_hash")
+    coded = bpe.encode(docs.select("doc_id", "source", "text", hashed), path, public_tokenizers.PATTERN)
+    whole = F.xxhash64("decoded") == F.col("text_hash")
     return bpe.decode(coded, path).select(
         "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip")
     )
