@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from duskrank.llm import queries
 from tests.oracle_check import connect, differences
@@ -63,3 +64,14 @@ def test_every_operator_is_registered():
 
     names = entry.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+
+
+def test_stages_keep_columns_with_common_names(spark, edge_docs, sf_dir):
+    names = ["removed", "depleted", "_id", "size", "node", "digest", "copies", "seeds"]
+    docs = edge_docs
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        assert out.select(*names).distinct().count() <= 1
