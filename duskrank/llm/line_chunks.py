@@ -1,11 +1,10 @@
 """Line dedup by content-defined chunks of lines.
 
 A line ends at a newline or, inside a paragraph, at the end of a sentence; lines are compared without
-the white space around them. A rolling hash over the last ``WINDOW`` line hashes decides after each line
-whether a chunk ends, so the same passage is cut alike wherever it stands. Chunks end after every second
-line on average; ``CUTS`` independent rules give as many ways of cutting, so that a short passage holds a
-whole chunk by at least one of them. Chunks of two or more lines and ``MIN_WORDS`` or more words whose
-hash occurs more than once in the corpus are candidates.
+the white space around them. Chunks are the shortest runs of ``MIN_LINES`` or more lines and ``MIN_WORDS``
+or more words that begin at a line, and the shortest that end at a line. Where a chunk lies depends on its
+own lines only, and every passage of that size is the union of the chunks inside it, wherever it stands. A
+rolling hash names the chunks; those whose hash occurs more than once in the corpus are candidates.
 
 Of each hash the first occurrence, by document id (null last), text hash and place, is the original. The
 texts of the document and of the original's document are brought together and compared byte by byte from
@@ -34,8 +33,6 @@ from duskrank.llm.common import slices
 from duskrank.llm.probminhash import mix
 from duskrank.session import cut
 
-WINDOW = 2
-CUTS = 3
 MIN_LINES = 2
 MIN_WORDS = 16
 SALT_ROWS = 512
@@ -44,6 +41,8 @@ _ENDS = re.compile(r"(?<=[.!?])(?= )|(?<=\n)")
 _SEEDS = "array<struct<hash: bigint, pos: int, n: int>>"
 _SEED_TYPE = pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())]))
 _U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def lines_of(text: str) -> list[str]:
@@ -57,32 +56,38 @@ def lines_of(text: str) -> list[str]:
     return out
 
 
-def seeds(text: str) -> list[dict[str, int]]:
-    """Hash, first line and number of lines of every chunk that is long enough."""
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
+    factors = np.full(n, base, dtype=_U)
+    factors[:1] = 1
+    return np.cumprod(factors, dtype=_U)
+
+
+def seeds(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first line and number of lines of every chunk."""
     lines = [piece.strip().encode() for piece in lines_of(text)]
-    if len(lines) < MIN_LINES:
-        return []
-    codes = np.fromiter(map(xxhash.xxh64_intdigest, lines), dtype=_U, count=len(lines))
-    words = np.concatenate(([0], np.cumsum([x.count(b" ") + 1 for x in lines])))
-    rolling = mix(codes)
-    for k in range(1, WINDOW):
-        rolling[k:] = mix(rolling[k:] + codes[:-k] * _U(2 * k + 1))
+    n = len(lines)
+    codes = np.fromiter(map(xxhash.xxh64_intdigest, lines), dtype=_U, count=n)
+    words = np.concatenate(([0], np.cumsum([x.count(b" ") + 1 for x in lines], dtype=np.int64)))
+    at = np.arange(n + 1)
+    stop = np.maximum(at + MIN_LINES, np.searchsorted(words, words + MIN_WORDS, "left"))
+    start = np.minimum(at - MIN_LINES, np.searchsorted(words, words - MIN_WORDS, "right") - 1)
+    first = np.concatenate((at[stop <= n], start[start >= 0]))
+    last = np.concatenate((stop[stop <= n], at[start >= 0]))
+    first, last = np.divmod(np.unique(first * (n + 1) + last), n + 1)
     # sums of place-dependent terms make every chunk's hash a difference of two running sums
-    found: dict[tuple[int, int], int] = {}
-    for rule in range(CUTS):
-        ends = np.flatnonzero(rolling >> _U(11 + rule) & _U(1)) + 1
-        edges = np.unique(np.concatenate(([0], ends, [len(lines)])))
-        a, b = edges[:-1], edges[1:]
-        long = (b - a >= MIN_LINES) & (words[b] - words[a] >= MIN_WORDS)
-        for i, j in zip(a[long].tolist(), b[long].tolist(), strict=True):
-            if (i, j) not in found:
-                found[i, j] = xxhash.xxh64_intdigest(codes[i:j].tobytes())
-    return [{"hash": h - (1 << 64) if h >> 63 else h, "pos": i, "n": j - i} for (i, j), h in found.items()]
+    sums = np.concatenate((np.zeros(1, dtype=_U), np.cumsum(codes * _powers(_BASE, n), dtype=_U)))
+    hashes = mix((sums[last] - sums[first]) * _powers(_INVERSE, n + 1)[first] + (last - first).astype(_U))
+    return hashes.view(np.int64), first, last - first
 
 
 def _seeded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        found = pa.array([seeds(t) if t else [] for t in batch.column("text").to_pylist()], _SEED_TYPE)
+        found = [seeds(t or "") for t in batch.column("text").to_pylist()]
+        ends = np.cumsum([0, *(len(h) for h, _, _ in found)])
+        columns = [np.concatenate(c).astype(t) for c, t in zip(zip(*found, strict=True), ("i8", "i4", "i4"), strict=True)]
+        chunks = pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(_SEED_TYPE.value_type))
+        found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunks).cast(_SEED_TYPE)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"), found], ["doc_id", "_key", "seeds"])
 
 
@@ -93,19 +98,19 @@ def repeated_runs(
     mine = [x.strip() for x in lines_of(text)]
     theirs = mine if same else [x.strip() for x in lines_of(original)]
     runs: list[tuple[int, int]] = []
-    covered: dict[int, list[tuple[int, int]]] = {}  # by shift between the two places
+    done = bytearray(len(mine))  # a run ends where another begins, so equal lines in any number are passed once
     for pos, first, n in sorted(found):
         shift = pos - first
-        if any(a <= pos and pos + n <= b for a, b in covered.get(shift, ())):
+        if all(done[pos : pos + n]):
             continue
         if mine[pos : pos + n] != theirs[first : first + n]:
             continue  # equal hashes of different lines
         a, b = pos, pos + n
-        while a > max(0, shift) and mine[a - 1] == theirs[a - 1 - shift]:
+        while a > max(0, shift) and not done[a - 1] and mine[a - 1] == theirs[a - 1 - shift]:
             a -= 1
-        while b < len(mine) and b - shift < len(theirs) and mine[b] == theirs[b - shift]:
+        while b < len(mine) and b - shift < len(theirs) and not done[b] and mine[b] == theirs[b - shift]:
             b += 1
-        covered.setdefault(shift, []).append((a, b))
+        done[a:b] = b"\1" * (b - a)
         runs.append((a, b))
     return runs
 
@@ -125,15 +130,19 @@ def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _candidates(keyed: DataFrame) -> DataFrame:
     """(_key, first_key, found): repeated chunks of a document whose original stands in the document first_key."""
     seeded = keyed.select("doc_id", "_key", "text").mapInArrow(_seeded, f"doc_id long, _key long, seeds {_SEEDS}")
-    seeded = cut(seeded.filter(F.size("seeds") > 0).dropDuplicates(["_key"]), "seeds")
-    chunks = seeded.select("doc_id", "_key", F.inline("seeds"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_key").alias("key"), "pos")
+    chunks = cut(seeded.filter(F.size("seeds") > 0), "seeds").select("doc_id", "_key", F.inline("seeds"))
+    # both sides read all columns, so that one shuffle serves them
+    chunks = chunks.repartition("hash")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_key").alias("key"), "pos", "n")
     firsts = chunks.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     met = chunks.join(firsts.select("hash", "first"), "hash").filter(
-        (F.col("_key") != F.col("first.key")) | (F.col("pos") != F.col("first.pos"))
+        (F.col("_key") != F.col("first.key"))
+        | (F.col("pos") != F.col("first.pos"))
+        | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     )
+    # a set: rows that repeat a document find the same
     found = F.struct("pos", F.col("first.pos").alias("first"), "n")
-    groups = met.groupBy("_key", F.col("first.key").alias("first_key")).agg(F.collect_list(found).alias("found"))
+    groups = met.groupBy("_key", F.col("first.key").alias("first_key")).agg(F.collect_set(found).alias("found"))
     return cut(groups, "candidates")
 
 
@@ -168,10 +177,10 @@ def _rebuilt(schema: T.StructType):
 
 def dedup_lines(docs: DataFrame, removed: str | None = None) -> DataFrame:
     """``docs`` with repeated chunks removed from ``text``; ``removed`` names a column for the number of removed lines."""
-    # one shuffle by key serves the comparison's two sides and the result
+    # one shuffle by key serves the comparison's two sides and the result, as all of them read whole rows
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text")).repartition("_key")
     pairs = _salted(_candidates(docs.select("doc_id", "text").withColumn("_key", F.xxhash64("doc_id", "text"))))
-    one = keyed.groupBy("_key").agg(F.first("text").alias("text"))
+    one = keyed.groupBy("_key").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_key", "_row.text")
     mine = pairs.join(one, "_key")
     original = one.select(F.col("_key").alias("first_key"), F.col("text").alias("original"))
     original = original.join(pairs.select("first_key", "salt").distinct(), "first_key")

@@ -143,6 +143,47 @@ def test_passage_goes_from_all_but_the_first(make_docs, prose, sentence):
     assert all(got[i]["text"] == t for i, t, _ in clean)
 
 
+def test_short_passages_of_few_lines_are_all_found(make_docs, words):
+    """Passages of 16 to 80 words in 2 to 6 lines, of which both documents hold nothing else in common."""
+    rng, rows, passages = random.Random(8), [], {}
+
+    def line(n):
+        return " ".join(rng.choices(words, k=n)) + f" {rng.random()}."
+
+    for g in range(120):
+        n_lines, n_words = 2 + g % 5, rng.choice((16, 30, 51, 66, 80))
+        ends = [0, *sorted(rng.sample(range(1, n_words), n_lines - 1)), n_words]
+        passage = [line(b - a - 1) if b - a > 1 else f"w{rng.random()}." for a, b in zip(ends, ends[1:])]
+        passages[2 * g + 1] = passage
+        for i in (2 * g, 2 * g + 1):
+            around = [line(rng.randint(3, 14)) for _ in range(8)]
+            rows.append((i, "\n".join(around[: 2 + i % 5] + passage + around[2 + i % 5 :]), "a"))
+    got = {r["doc_id"]: r for r in line_chunks.dedup_lines(make_docs(rows), "gone").collect()}
+    for i, passage in passages.items():
+        assert got[i - 1]["gone"] == 0 and got[i]["gone"] == len(passage)
+        assert not any(x in got[i]["text"].split("\n") for x in passage)
+
+
+def test_passages_equal_brute_force(make_docs):
+    """Lines of few kinds: those go that lie in a run of enough lines and words with an earlier place."""
+    rng = random.Random(3)
+    kinds = [" ".join([f"k{k}"] * rng.choice((1, 2, 6, 9, 17))) for k in range(12)]
+    docs = [[rng.choice(kinds) for _ in range(rng.randint(0, 14))] for _ in range(60)]
+    known, want = set(), []
+    for doc in docs:
+        gone = set()
+        for b in range(len(doc) + 1):
+            for a in range(b - 1):
+                if sum(len(x.split()) for x in doc[a:b]) >= line_chunks.MIN_WORDS:
+                    if tuple(doc[a:b]) in known:
+                        gone |= set(range(a, b))
+                    known.add(tuple(doc[a:b]))
+        want.append(len(gone))
+    rows = [(i, "\n".join(doc), "a") for i, doc in enumerate(docs)]
+    got = {r["doc_id"]: r["gone"] for r in line_chunks.dedup_lines(make_docs(rows), "gone").collect()}
+    assert [got[i] for i in range(len(docs))] == want and sum(want)
+
+
 def test_every_line_stays_somewhere(make_docs, prose):
     texts = [prose(i % 5, 9) + ("\n" + prose(i, 4)) * (i % 3) for i in range(40)]
     got = line_chunks.dedup_lines(make_docs([(i, t, "a") for i, t in enumerate(texts)])).collect()
@@ -157,6 +198,12 @@ def test_equal_hashes_of_other_lines_stay():
     assert line_chunks.repeated_runs("A. A. A. A. A. A.", "", True, [(2, 0, 2)]) == [(2, 6)]
 
 
+def test_equal_lines_in_any_number_are_passed_once():
+    text = "Ab cd ef gh ij kl mn op qr.\n" * 20_000
+    found = [(int(pos), 0, int(n)) for _, pos, n in zip(*line_chunks.seeds(text), strict=True) if pos]
+    assert line_chunks.repeated_runs(text, "", True, found) == [(1, 20_000)]
+
+
 def test_line_dedup_edge_rows(edge_docs, no_docs):
     out = line_chunks.dedup_lines(edge_docs)
     assert out.columns == edge_docs.columns and out.schema == edge_docs.schema
