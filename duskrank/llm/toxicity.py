@@ -44,8 +44,8 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 # Phrases in which a word of abuse is none.
 EXCEPTIONS = ("idiot proof", "idiot light", "trash can", "trash bin", "trash collection", "sore loser", "clown fish")
 
-# An entry stands in so many toxic training documents, and in that share of them.
-MIN_TOXIC_DOCS, MIN_TOXIC_SHARE = 3, 0.015
+# An entry stands in so many toxic training documents, however many there are.
+MIN_TOXIC_DOCS = 3
 MIN_LOG_ODDS = 2.5
 NEARLY_ALL = 0.9
 BEGINNINGS = range(3, 13)
@@ -117,7 +117,7 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], list[str]]:
     low = (F.col("toxic") - F.sqrt("toxic") + 0.5) / (n_toxic + 1.0)
     high = (F.col("clean") + F.sqrt(F.col("clean") + 1.0) + 0.5) / (n_clean + 1.0)
     strong = parts.withColumn("weight", F.log(low) - F.log(high)).filter(
-        (F.col("toxic") >= max(MIN_TOXIC_DOCS, MIN_TOXIC_SHARE * n_toxic)) & (F.col("weight") >= MIN_LOG_ODDS)
+        (F.col("toxic") >= MIN_TOXIC_DOCS) & (F.col("weight") >= MIN_LOG_ODDS)
     )
     strong = cut(strong, "strong_parts")
     # the largest continuation of a beginning, by one letter or by the word's end

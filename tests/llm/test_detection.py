@@ -109,6 +109,15 @@ def labelled(spark, make_docs, prose):
     return make_docs(docs), spark.createDataFrame(labels, "doc_id long, toxic int")
 
 
+def test_entries_may_be_rare(spark):
+    """A word in 15 of 1,200 toxic documents and in no clean one has evidence enough."""
+    toxic = [("zorbak a" if k < 15 else "vile a", 1) for k in range(1200)]
+    train = spark.createDataFrame(toxic + [("a b", 0)] * 2400, "text string, toxic int")
+    lexicon, _ = toxicity.learn_lexicon(train)
+    found = toxicity.automaton(tuple(lexicon.items()), ())
+    assert toxicity.text_weight(["zorbak"], found) > 0 and toxicity.text_weight(["a", "b"], found) == 0
+
+
 def test_held_out_accuracy(labelled):
     docs, labels = labelled
     got = toxicity.score(docs, labels).join(labels, "doc_id").collect()
