@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskrank.llm import bpe, hnsw, line_chunks, line_quality, mixing, probminhash, secrets, token_files, toxicity, url_rules
+from duskrank.llm import bpe, hnsw, line_chunks, line_quality, merkle, mixing, probminhash, secrets
+from duskrank.llm import spelling, spherical_caps, token_files, toxicity, url_rules
 from duskrank.llm.common import table
 from duskrank.session import scratch_root
 
@@ -63,6 +64,19 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical_caps.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, merkle.without_newlines(docs))
+
+
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_chunks": line_dedup,
     "op2_url_rules": url_filter,
@@ -74,6 +88,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_quality": quality_rules,
     "op9_secret_scan": secret_scan,
     "op10_source_mix": source_mix,
+    "op11_spherical_caps": embedding_near_duplicates,
+    "op12_merkle_manifest": merkle_manifest,
+    "op13_spelling_variants": spelling_variants,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_url_rules": url_rules.SQL, "op8_line_quality": line_quality.SQL, "op10_source_mix": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_rules": url_rules.SQL,
+    "op8_line_quality": line_quality.SQL,
+    "op10_source_mix": mixing.SQL,
+    "op11_spherical_caps": spherical_caps.SQL,
+}
