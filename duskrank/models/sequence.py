@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskrank.functions.ordered import HOT_ROWS, Hot, positions
-from duskrank.models.blocks import BUCKETS
+from duskrank.models.blocks import ROWS_PER_CELL
 from duskrank.models.pairwise import fit_pairwise
 from duskrank.operators.scoring import score_pairs
 from duskrank.operators.vectors import mean_vectors
@@ -59,16 +59,16 @@ def fit_sequence(
     min_count: int = 5,
     window: int = 5,
     seed: int = 42,
-    buckets: int = BUCKETS,
+    rows_per_cell: int = ROWS_PER_CELL,
     hot: Hot = True,
 ) -> dict[str, DataFrame]:
     """Skip-gram vectors per item (id, features); rarer items than ``min_count`` get none.
 
-    The counted context pairs are the entries of a sparse matrix, fitted with negative samples in cells of
-    centre buckets against context blocks: neither the vectors nor the vocabulary pass through the driver.
+    The counted context pairs are the entries of a sparse matrix, fitted in cells of a bounded number of
+    pairs with negatives drawn by count^0.75: neither the vectors nor the vocabulary pass through the driver.
     """
     pairs = context_pairs(train, window, min_count, hot)
-    model = fit_pairwise(pairs, n_factors, epochs, "skipgram", seed, buckets=buckets)
+    model = fit_pairwise(pairs, n_factors, epochs, "skipgram", seed, rows_per_cell=rows_per_cell)
     return {"items": model["users"].select("id", "features")}
 
 

@@ -97,6 +97,13 @@ def feature_columns(pairs_features: DataFrame) -> list[str]:
     return columns
 
 
+def categorical_values(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """The columns as a long table (id, feature, value) of text values; nulls are left out, repeats count once."""
+    values = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns])
+    long = df.select(F.col(key).alias("id"), F.explode(values).alias("_v")).select("id", "_v.feature", "_v.value")
+    return long.dropna().distinct()
+
+
 def with_item_vectors(df: DataFrame, items: DataFrame) -> DataFrame:
     """Attach the raw item vector, used as a block of features."""
     return df.join(items.select("item_id", "embeddings"), "item_id", "left")

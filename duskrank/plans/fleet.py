@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from duskrank.functions.ordered import Hot
 from duskrank.models import als, ease, pairwise, sequence, svd
+from duskrank.models.blocks import ROWS_PER_CELL
 from duskrank.operators import metrics, scoring, split, weights
 from duskrank.sources.store import ModelStore, fingerprint_value, hash_dict, read_if_complete
 
@@ -47,8 +49,10 @@ class FleetParams:
     sequence_epochs: int = 30
     sequence_min_count: int = 5
     svd_factors: int = 128
-    # user buckets and factor blocks of every matrix fit: part of the fit, not of the session
+    # user buckets and factor blocks of the ALS and SVD fits, entries per cell of the sampled ones: part of the fit, not of
+    # the session
     blocks: int = 64
+    cell_rows: int = ROWS_PER_CELL
     seed: int = 42
 
 
@@ -111,6 +115,28 @@ def scoped(df: DataFrame, spec: ModelSpec, items: DataFrame) -> DataFrame:
     return df
 
 
+@dataclass(frozen=True)
+class SideFeatures:
+    """Categorical values (id, feature, value) of users, items and sources for the pairwise models."""
+
+    users: DataFrame | None = None
+    items: DataFrame | None = None
+    sources: DataFrame | None = None
+
+    def of_items(self, scope: str) -> DataFrame | None:
+        """The values in the id space of the scope's items."""
+        if scope == "source":
+            return self.sources
+        if scope == "item":
+            return self.items
+        typed = [
+            df.withColumn("id", F.struct(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id")))
+            for df, kind in ((self.items, weights.ITEM), (self.sources, weights.SOURCE))
+            if df is not None
+        ]
+        return reduce(DataFrame.unionByName, typed) if typed else None
+
+
 def fit_model(
     spec: ModelSpec,
     train: DataFrame,
@@ -119,10 +145,12 @@ def fit_model(
     store: ModelStore | None = None,
     hot: Hot = True,
     content: str | None = None,
+    side: SideFeatures | None = None,
 ) -> dict[str, DataFrame]:
     """Fitted tables of one model, from the store when the same fit was done before.
 
-    ``content`` is the fingerprint of what the model is fitted on, if it is known already.
+    ``content`` is the fingerprint of what the model is fitted on, if it is known already. Only the pairwise
+    models use side features.
     """
     own = scoped(train, spec, items)
     if spec.kind == "ease":
@@ -130,14 +158,18 @@ def fit_model(
         own = split.keep_frequent_items(own, p.ease_sources if spec.scope == "source" else p.ease_items)
     params: dict[str, Any] = {
         "als": dict(iterations=p.als_iterations, alpha=p.als_alpha, regularization=p.als_regularization, n_factors=p.als_factors, seed=p.seed, blocks=p.blocks),
-        "pairwise": dict(n_factors=p.pairwise_factors, epochs=p.pairwise_epochs, loss=spec.loss, seed=p.seed, buckets=p.blocks),
+        "pairwise": dict(n_factors=p.pairwise_factors, epochs=p.pairwise_epochs, loss=spec.loss, seed=p.seed, rows_per_cell=p.cell_rows),
         "ease": dict(regularization=p.ease_regularization),
         "svd": dict(n_factors=p.svd_factors, seed=p.seed, buckets=p.blocks),
-        "sequence": dict(n_factors=p.sequence_factors, epochs=p.sequence_epochs, min_count=p.sequence_min_count, seed=p.seed, buckets=p.blocks),
+        "sequence": dict(n_factors=p.sequence_factors, epochs=p.sequence_epochs, min_count=p.sequence_min_count, seed=p.seed, rows_per_cell=p.cell_rows),
     }[spec.kind]
+    given = {}
+    if spec.kind == "pairwise" and side is not None:
+        found = {"user_features": side.users, "item_features": side.of_items(spec.scope)}
+        given = {name: df for name, df in found.items() if df is not None}
     fit = {
         "als": als.fit_als,
-        "pairwise": pairwise.fit_pairwise,
+        "pairwise": lambda df, **kw: pairwise.fit_pairwise(df, **kw, **given),
         "ease": ease.fit_ease,
         "svd": svd.fit_svd,
         "sequence": lambda df, **kw: sequence.fit_sequence(df, hot=hot, **kw),
@@ -146,7 +178,7 @@ def fit_model(
         model = fit(own, **params)
     else:
         caps = {"items": p.ease_items, "sources": p.ease_sources} if spec.kind == "ease" else {}
-        named = {**params, **caps, "scope": spec.scope}
+        named = {**params, **caps, "scope": spec.scope, **{name: fingerprint_value(df) for name, df in given.items()}}
         model = store.fit(spec.kind, named, own, lambda: fit(own, **params), content=content)
     if spec.scope == "pseudo":
         # pairs hold items only: their vectors get the plain ids back, those of pseudo-items are not needed

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from duskrank.models import als, ease, pairwise, sequence, svd
 from duskrank.models.blocks import layout
 from duskrank.operators import metrics, scoring
-from duskrank.plans import fleet
+from duskrank.models.blocks import balanced_cells
+from duskrank.operators import features
 from duskrank.plans import fleet
 
 SCHEMA = "user_id long, item_id long, weight double, datetime long, pos long"
@@ -121,7 +122,7 @@ def auc(test, scored, name):
 @pytest.mark.parametrize("loss,block", [("bpr", 15), ("warp", 1000)])
 def test_pairwise_learns(planted, loss, block):
     train, test = planted
-    fit = lambda: pairwise.fit_pairwise(train, 8, 40, loss, block=block, buckets=3, rate=0.1, local_epochs=20)
+    fit = lambda: pairwise.fit_pairwise(train, 8, 40, loss, block=block, rows_per_cell=400, rate=0.1, local_epochs=20)
     model = fit()
     scored = scoring.score_pairs_biased(test, model["users"], model["items"], "s")
     assert auc(test, scored, "s") > 0.62
@@ -174,9 +175,9 @@ def test_fleet_definition():
     assert len(fleet.SEARCH_FLEET) == 14
 
 
-def test_more_item_blocks_than_buckets(planted):
+def test_many_item_blocks(planted):
     train, test = planted
-    model = pairwise.fit_pairwise(train, 8, 20, "bpr", block=6, buckets=2, rate=0.1, local_epochs=10)
+    model = pairwise.fit_pairwise(train, 8, 20, "bpr", block=6, rows_per_cell=400, rate=0.1, local_epochs=10)
     assert model["items"].count() == train.select("item_id").distinct().count()
     scored = scoring.score_pairs_biased(test, model["users"], model["items"], "s")
     assert auc(test, scored, "s") > 0.55
@@ -198,8 +199,152 @@ def test_pseudo_items_with_large_ids(spark, planted):
     big = train.withColumn("item_id", F.col("item_id") + 1_000_000)
     items = big.select("item_id").distinct().withColumn("source_id", F.col("item_id") % 5)
     spec = next(m for m in fleet.FLEET if m.scope == "pseudo")
-    params = fleet.FleetParams(pairwise_factors=4, pairwise_epochs=2, blocks=2)
+    params = fleet.FleetParams(pairwise_factors=4, pairwise_epochs=2)
     model = fleet.fit_model(spec, big, items, params)
     ids = {r["id"] for r in model["items"].select("id").collect()}
     assert ids == {r["item_id"] for r in items.collect()}
     assert ids.isdisjoint(range(5)) and model["users"].count() == big.select("user_id").distinct().count()
+
+
+def test_cells_are_bounded_with_a_user_of_a_third(spark):
+    rng = np.random.default_rng(1)
+    rows = [(0, i, 1.0) for i in range(4000)] + [(int(u), int(i), 1.0) for u, i in zip(rng.integers(1, 900, 8000), rng.integers(0, 4000, 8000))]
+    entries = spark.createDataFrame(rows, "u int, i int, weight double")
+    cells = balanced_cells(entries, 2500, 500)
+    found = cells.entries.toPandas()
+    assert sorted(found[["u", "i", "weight"]].itertuples(index=False, name=None)) == sorted(rows)
+    sizes = found.groupby(["q", "c"]).size()
+    assert sizes.max() <= 500 and sizes.mean() > 250 and (found.i // 2500 == found.q).all()
+    hot = found[found.u == 0].groupby(["q", "c"]).size()
+    assert len(hot) >= 8
+    members = cells.members.toPandas()
+    assert set(members.itertuples(index=False, name=None)) == set(found[["q", "c", "u"]].itertuples(index=False, name=None))
+    small = found[found.u != 0].groupby(["q", "u"]).c.nunique()
+    assert small.max() == 1  # only a hot user has copies inside a block
+
+
+def test_copies_of_a_hot_user_are_merged(spark, planted):
+    train, test = planted
+    hot = train.filter("user_id % 3 = 0").withColumn("user_id", F.lit(0)).groupBy("user_id", "item_id").agg(F.max("weight").alias("weight"))
+    rest = train.filter("user_id <> 0").select("user_id", "item_id", "weight")
+    model = pairwise.fit_pairwise(rest.unionByName(hot), 8, 40, "bpr", rows_per_cell=16, rate=0.1, local_epochs=4)
+    users = model["users"].toPandas()
+    assert users.id.is_unique and len(users) == rest.select("user_id").distinct().count() + 1
+    scored = scoring.score_pairs_biased(test, model["users"], model["items"], "s")
+    assert auc(test, scored, "s") > 0.62
+    hers = test.filter("user_id % 3 = 0").withColumn("user_id", F.lit(0)).groupBy("user_id", "item_id").agg(F.max("weight").alias("weight"))
+    assert auc(hers, scoring.score_pairs_biased(hers, model["users"], model["items"], "s"), "s") > 0.7
+
+
+def test_alias_draws_follow_the_weights():
+    rng = np.random.default_rng(0)
+    for weight in (rng.integers(0, 200, 300) ** 0.75, np.array([5.0]), np.array([0.0, 1.0, 0.0]), np.zeros(4)):
+        table = pairwise.alias_table(weight)
+        ids = np.arange(200_000)
+        got = np.bincount(pairwise.drawn(pairwise._hashes(ids, ids * 7, 3, 42, 2), table).ravel(), minlength=len(weight))
+        want = weight / weight.sum() if weight.sum() else np.full(len(weight), 1 / len(weight))
+        assert (got[want == 0] == 0).all()
+        spread = np.abs(got / got.sum() - want) / np.sqrt(np.maximum(want, 1e-9) / got.sum())
+        assert spread.max() < 4.5
+
+
+def test_frequent_contexts_do_not_crowd_out_planted_pairs(spark):
+    """Items 0 and 1 are everywhere; 10+2k and 11+2k stand next to each other."""
+    rng, rows = np.random.default_rng(4), []
+    for u in range(300):
+        places = []
+        for k in rng.integers(0, 15, 6):
+            places += [10 + 2 * int(k), 11 + 2 * int(k), int(rng.integers(0, 2))]
+        rows += [(u, i, 1.0, 1, k) for k, i in enumerate(places)]
+    model = sequence.fit_sequence(spark.createDataFrame(rows, SCHEMA), 16, 25, min_count=1, window=1)
+    v = {r.id: np.array(r.features) for r in model["items"].collect()}
+    # centre vectors: partners share the context of each other's neighbours, so compare the pairs' own contexts
+    pairs = sequence.context_pairs(spark.createDataFrame(rows, SCHEMA), 1, 1).toPandas()
+    best = pairs[pairs.user_id >= 10].sort_values("weight").groupby("user_id").item_id.last()
+    assert all(best[10 + 2 * k] in (11 + 2 * k, 0, 1) for k in range(15))
+    assert len(v) == 32 and all(np.isfinite(x).all() for x in v.values())
+
+
+@pytest.fixture(scope="module")
+def sided(spark):
+    """Users like items of their own kind; (train, users' values, items' values, test of items never seen)."""
+    rng, rows, tests = np.random.default_rng(6), [], []
+    for u in range(160):
+        for k, i in enumerate(rng.choice(60, 24, replace=False)):
+            weight = 1.0 if u % 4 == i % 4 and rng.random() < 0.95 else -1.0 if rng.random() < 0.4 else 0.0
+            (rows if i < 44 else tests).append((u, int(i), weight, 1, k))
+    make = lambda r: spark.createDataFrame(r, SCHEMA)
+    values = "id long, feature string, value string"
+    users = spark.createDataFrame([(u, "taste", str(u % 4)) for u in range(200)] + [(3, "taste", None), (3, "taste", "3")], values)
+    items = [(i, "kind", str(i % 4)) for i in range(60)] + [(i, "noise", str(i % 7)) for i in range(0, 60, 2)]
+    return make(rows), users, spark.createDataFrame(items, values), make(tests)
+
+
+@pytest.mark.parametrize("loss,rows_per_cell", [("bpr", 1 << 20), ("warp", 150)])
+def test_cold_items_and_users_score_by_their_values(spark, sided, loss, rows_per_cell):
+    train, users, items, test = sided
+    plain = pairwise.fit_pairwise(train, 8, 20, loss, rate=0.1, rows_per_cell=rows_per_cell)
+    assert scoring.score_pairs_biased(test, plain["users"], plain["items"], "s").filter("not is_cold").count() == 0
+    model = pairwise.fit_pairwise(
+        train, 8, 20, loss, rate=0.1, rows_per_cell=rows_per_cell, user_features=users, item_features=items
+    )
+    scored = scoring.score_pairs_biased(test, model["users"], model["items"], "s")
+    assert scored.filter("is_cold").count() == 0
+    # dislikes and other items are alike to everything the model can know
+    test = test.withColumn("weight", (F.col("weight") > 0).cast("double"))
+    assert auc(test, scored, "s") > 0.85
+    # users 160 to 199 never occur in the training set
+    fresh = test.filter("user_id < 40").withColumn("user_id", F.col("user_id") + 160)
+    assert auc(fresh, scoring.score_pairs_biased(fresh, model["users"], model["items"], "s"), "s") > 0.75
+    assert {(r.feature, r.value) for r in model["item_values"].collect()} == {("kind", str(k)) for k in range(4)} | {("noise", str(k)) for k in range(7)}
+    assert model["user_values"].count() == 4 and model["users"].count() == 200
+
+
+def test_values_add_up_to_what_pairs_are_scored_with(spark, sided):
+    """An id without entries has exactly the sum of its values' vectors."""
+    train, users, items, _ = sided
+    model = pairwise.fit_pairwise(train, 4, 4, user_features=users, item_features=items)
+    vectors = {(r.feature, r.value): (np.array(r.features), r.bias) for r in model["item_values"].collect()}
+    rows = {r.id: r for r in model["items"].collect()}
+    for i in (44, 50, 57):
+        parts = [vectors["kind", str(i % 4)]] + ([vectors["noise", str(i % 7)]] if i % 2 == 0 else [])
+        np.testing.assert_allclose(rows[i].features, sum(x for x, _ in parts), atol=1e-12)
+        assert rows[i].bias == pytest.approx(sum(b for _, b in parts))
+
+
+def test_gradients_of_values_are_those_of_the_sum():
+    """A step of a row is a step of its own vector and of each of its values, repeats within a batch summed."""
+    state = pd.DataFrame(
+        [("u", 1, [1.0, 0.0], 0.5, 1.0, 1.0, [4, 9]), ("u", 2, [0.0, 1.0], 0.0, 1.0, 1.0, None), ("u", 3, [2.0, 2.0], 0.0, 1.0, 1.0, [9]),
+         ("a", 4, [0.5, 0.5], 1.0, 1.0, 1.0, None), ("a", 9, [-1.0, 3.0], 0.25, 1.0, 1.0, None)],
+        columns=["kind", "id", "features", "bias", "seen", "bias_seen", "values"],
+    )
+    side = pairwise._Side(state, "u", "a")
+    x, b = side.vectors(np.array([[0, 1], [2, 0]]))
+    np.testing.assert_allclose(x, [[[0.5, 3.5], [0.0, 1.0]], [[1.0, 5.0], [0.5, 3.5]]])
+    np.testing.assert_allclose(b, [[1.75, 0.0], [0.25, 1.75]])
+    side.step(np.array([0, 2, 0]), np.array([[1.0, 0], [0, 2.0], [1.0, 0]]), np.zeros(3), 0.1)
+    np.testing.assert_allclose(side.values.x[0], [0.5 + 0.2 / np.sqrt(1 + 2.0), 0.5])
+    np.testing.assert_allclose(side.values.x[1], np.array([-1.0, 3.0]) + 0.1 * np.array([2.0, 2.0]) / np.sqrt(1 + 4.0))
+    assert side.values.n.tolist() == [2, 3] and side.own.n.tolist() == [2, 0, 1]
+
+
+def test_source_models_take_values_of_sources(spark, sided):
+    train, users, items, test = sided
+    own = spark.createDataFrame([(i, 1000 + i % 30) for i in range(60)], "item_id long, source_id long")
+    sources = spark.createDataFrame([(1000 + s, "kind", str(s % 2)) for s in range(30)], "id long, feature string, value string")
+    params = fleet.FleetParams(pairwise_factors=4, pairwise_epochs=5)
+    seen = train.filter("item_id % 30 < 20")
+    specs = {m.scope: m for m in fleet.FLEET if m.kind == "pairwise" and m.loss == "bpr" and m.train_set == "like"}
+    side = fleet.SideFeatures(users, items, sources)
+    for scope, want in (("source", {1000 + s for s in range(30)}), ("pseudo", set(range(60))), ("item", set(range(60)))):
+        model = fleet.fit_model(specs[scope], seen, own, params, side=side)
+        assert {r.id for r in model["items"].select("id").collect()} == want
+        scored = fleet.score_model(specs[scope], model, test, train, own)
+        assert scored.filter("is_cold").count() == 0 and scored.count() == test.count()
+
+
+def test_categorical_values_as_a_long_table(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "a", 3.0), (2, None, 2.0)], "k long, x string, y double")
+    got = sorted(tuple(r) for r in features.categorical_values(df, "k", ["x", "y"]).collect())
+    assert got == [(1, "x", "a"), (1, "y", "2.0"), (1, "y", "3.0"), (2, "y", "2.0")]
