@@ -161,6 +161,60 @@ def running_totals(
     return out.drop("_slice", *[f"{m}_{part}" for m in measures for part in ("earlier", "all")])
 
 
+def neighbours(
+    df: DataFrame,
+    key: str,
+    orders: Sequence[str],
+    tie: str,
+    own: Sequence[str],
+    hot: Hot = True,
+    limit: int = HOT_ROWS,
+) -> DataFrame:
+    """For the k-th of ``orders`` add ``_prev<k>`` and ``_next<k>`` (structs of ``own`` of the neighbouring rows; null at
+    the ends) and ``_place<k>`` (from 1).
+
+    Rows of a key stand in the order of a double column (no nulls), then of ``tie``. The slices of a hot key are
+    ordered on their own; each slice's first and last row and its length, one row per slice, give the neighbours
+    across slices and the shift of the places.
+    """
+
+    def found(k: int, by: list[str]) -> dict[str, Column]:
+        within = Window.partitionBy(*by).orderBy(orders[k], tie)
+        row = F.struct(*own)
+        return {f"_prev{k}": F.lag(row).over(within), f"_next{k}": F.lead(row).over(within), f"_place{k}": F.row_number().over(within)}
+
+    if hot is False:
+        return df.withColumns({name: c for k in range(len(orders)) for name, c in found(k, [key]).items()})
+    for k, order in enumerate(orders):
+        marked, hot_rows = _mark_by_value(df, [key], hot, order, limit)
+        place = F.struct(order, tie)
+        ends = hot_rows.groupBy(key, "_slice").agg(
+            F.count(F.lit(1)).alias("_n"), F.min_by(F.struct(*own), place).alias("_first"), F.max_by(F.struct(*own), place).alias("_last")
+        )
+        slices = Window.partitionBy(key).orderBy("_slice")
+        ends = ends.select(
+            key,
+            "_slice",
+            (F.sum("_n").over(slices) - F.col("_n")).alias("_earlier"),
+            F.lag("_last").over(slices).alias("_before"),
+            F.lead("_first").over(slices).alias("_after"),
+        )
+        # a row without a neighbour in its slice is the slice's first or last
+        df = (
+            marked.withColumns(found(k, [key, "_slice"]))
+            .join(ends, [key, "_slice"], "left")
+            .withColumns(
+                {
+                    f"_prev{k}": F.coalesce(f"_prev{k}", "_before"),
+                    f"_next{k}": F.coalesce(f"_next{k}", "_after"),
+                    f"_place{k}": F.col(f"_place{k}") + F.coalesce("_earlier", F.lit(0)),
+                }
+            )
+            .drop("_slice", "_earlier", "_before", "_after")
+        )
+    return df
+
+
 def nearest_quantiles(
     df: DataFrame,
     keys: Sequence[str],

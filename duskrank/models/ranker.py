@@ -7,92 +7,100 @@ linear in the rows, where all pairs of a user would be quadratic.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskrank.functions.ordered import HOT_ROWS, detect_hot
+from duskrank.functions.ordered import HOT_ROWS, Hot, detect_hot, neighbours
+from duskrank.models import trees
 from duskrank.operators.split import split_users
 from duskrank.session import cut, use_checkpoints
 
 
-def _lists(df: DataFrame, limit: int) -> DataFrame:
-    """Add ``sublist``: 0, or one of several random lists for a user with more than ``limit`` rows.
+def noise(draw: int, permutation: int, seed: int) -> Column:
+    """Logistic noise from a hash of (user, item, seed, draw, permutation)."""
+    name = F.concat_ws(":", "user_id", "item_id", F.lit(seed), F.lit(draw), F.lit(permutation))
+    unit = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    return F.log(unit / (1 - unit))
 
-    Pairs are sampled from neighbours anyway; a very active user's rows are sampled list by list.
-    """
-    if detect_hot(df, ["user_id"], limit) is False:
-        return df.withColumn("sublist", F.lit(0))
-    counts = df.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    lists = F.ceil(F.col("_n") / limit)
-    chosen = F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("item_id"), lists)).otherwise(0)
-    # at most rows/limit users
-    return df.join(F.broadcast(counts), "user_id", "left").withColumn("sublist", chosen.cast("int")).drop("_n")
-
-
-def ranking_gradients(df: DataFrame, draw: int, seed: int, permutations: int, decay: float) -> DataFrame:
-    """Add ``grad`` and ``hess`` of the pair-logistic loss over noisy neighbours, summed over permutations."""
-    grad, hess = F.lit(0.0), F.lit(0.0)
-    out = df
-    for k in range(permutations):
-        unit = (F.pmod(F.xxhash64("user_id", "item_id", F.lit(seed), F.lit(draw), F.lit(k)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-        noisy = F.col("score") + F.log(unit / (1 - unit))
-        order = Window.partitionBy("user_id", "sublist").orderBy(F.desc("_noisy"), "item_id")
-        own = F.struct("score", "target")
-        out = (
-            out.withColumn("_noisy", noisy)
-            .withColumn(f"_next{k}", F.lead(own).over(order))
-            .withColumn(f"_prev{k}", F.lag(own).over(order))
-            .withColumn(f"_place{k}", F.row_number().over(order))
-        )
-        for side, first in ((f"_next{k}", F.col(f"_place{k}") - 1), (f"_prev{k}", F.col(f"_place{k}") - 2)):
-            gap = F.col("target") - F.col(side)["target"]
-            weight = F.pow(F.lit(decay), first) * F.abs(gap)
-            wrong = 1 / (1 + F.exp(F.signum(gap) * (F.col("score") - F.col(side)["score"])))
-            grad = grad + F.coalesce(weight * F.signum(gap) * wrong, F.lit(0.0))
-            hess = hess + F.coalesce(weight * wrong * (1 - wrong), F.lit(0.0))
-    helpers = [f"_{name}{k}" for k in range(permutations) for name in ("next", "prev", "place")]
-    return out.withColumn("grad", grad).withColumn("hess", hess).drop("_noisy", *helpers)
 
+def ranking_gradients(
+    df: DataFrame, draw: int, seed: int, permutations: int, decay: float, hot: Hot = False, limit: int = HOT_ROWS
+) -> DataFrame:
+    """Add ``grad`` and ``hess`` of the pair-logistic loss over noisy neighbours, summed over permutations.
 
-# trees that one plan adds up
-TREES_PER_PLAN = 50
+    Neighbours and places are those of the user's whole list, however long it is.
+    """
+    orders = [f"_falling{k}" for k in range(permutations)]
+    placed = df.withColumns({name: -(F.col("score") + noise(draw, k, seed)) for k, name in enumerate(orders)})
+    placed = neighbours(placed, "user_id", orders, "item_id", ["score", "target"], hot, limit)
+    terms = []
+    for k in range(permutations):
+        for side, first in ((f"_next{k}", 1), (f"_prev{k}", 2)):
+            gap = f"(target - {side}.target)"
+            wrong = f"(1 / (1 + exp(signum{gap} * (score - {side}.score))))"
+            weight = f"(pow({decay!r}D, _place{k} - {first}) * abs{gap} * {wrong})"
+            terms.append((f"coalesce({weight} * signum{gap}, 0D)", f"coalesce({weight} * (1 - {wrong}), 0D)"))
+    sums = (F.expr(" + ".join(t)) for t in zip(*terms))
+    return placed.withColumns(dict(zip(("grad", "hess"), sums))).select(*df.columns, "grad", "hess")
 
 
 @dataclass
 class FittedRanker:
-    trees: list[DecisionTreeRegressionModel]
+    trees: list[trees.Tree]
     leaves: list[list[float]]
     features: str = "features"
 
-    def predict(self, df: DataFrame, output: str = "prediction", portion: int = TREES_PER_PLAN) -> DataFrame:
-        """Adds the sum of the trees' leaf values; after every ``portion`` trees the sum so far is written.
-
-        That bounds the plan however many trees there are.
-        """
-        out = df.withColumn(output, F.lit(0.0))
-        for first in range(0, len(self.trees), portion):
-            if first:
-                out = cut(out, "partial_scores")
-            total, columns = F.col(output), []
-            for k in range(first, min(first + portion, len(self.trees))):
-                columns.append(f"_leaf{k}")
-                tree = self.trees[k].copy().setFeaturesCol(self.features).setPredictionCol("").setLeafCol(columns[-1])
-                out = tree.transform(out)
-                total = total + _leaf_value(columns[-1], self.leaves[k])
-            out = out.withColumn(output, total).drop(*columns)
-        return out
-
-
-def _leaf_value(column: str, values: Sequence[float]) -> Column:
-    return F.get(F.array(*[F.lit(float(v)) for v in values]), F.col(column).cast("int"))
+    def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
+        """Adds the sum of the trees' leaf values: one pass and one expression however many trees there are."""
+        return df.withColumn(output, trees.summed_leaves(self.trees, self.leaves, self.features))
+
+
+def boost(
+    rows: DataFrame,
+    limits: Sequence[np.ndarray],
+    rounds: int,
+    depth: int,
+    bins: int,
+    rate: float,
+    l2: float,
+    gradients: Callable[[DataFrame, int], DataFrame],
+    keys: Sequence[str],
+    cut_every: int,
+) -> tuple[list[trees.Tree], list[list[float]]]:
+    """Trees fitted one after another to ``gradients(rows, round)`` of rows (keys, target, bins).
+
+    Rows lie in place by the first key (for the windows of the gradients), and a round is one pass per level: the
+    first pass also computes the gradients from the scores of the round before. After ``cut_every`` rounds the
+    scores are written, so lost executors cost that many rounds at most.
+    """
+    columns = [*keys, "target", "bins", "score"]
+    state = rows.withColumn("score", F.lit(0.0)).select(*columns).repartition(keys[0])
+    grown, leaves, before = [], [], None
+    for r in range(rounds):
+        graded = gradients(state, r).persist(StorageLevel.MEMORY_AND_DISK)
+        tree, value = trees.grow(graded, limits, depth, bins, l2)
+        value = (rate * value).tolist()
+        grown.append(tree)
+        leaves.append(value)
+        state = graded.select(*columns[:-1], F.expr(f"score + {tree.expression('bins', value)}").alias("score"))
+        if before is not None:
+            before.unpersist()
+        before = graded
+        if (r + 1) % cut_every == 0 and r + 1 < rounds:
+            state = cut(state, "boosted").repartition(keys[0])
+            before.unpersist()
+            before = None
+    if before is not None:
+        before.unpersist()
+    return grown, leaves
 
 
 @dataclass(frozen=True)
@@ -109,82 +117,78 @@ class RankerSpec:
     seed: int = 32
     features: str = "features"
     cut_every: int = 10
-    list_rows: int = HOT_ROWS
+    hot_rows: int = HOT_ROWS
+
+    def binned(self, df: DataFrame) -> tuple[DataFrame, list[np.ndarray]]:
+        """Rows with a byte per feature, written once, and the limits of the bins."""
+        keys = ["user_id", "item_id", "target"]
+        rows = df.select("user_id", "item_id", F.col("target").cast("double").alias("target"), self.features)
+        limits = trees.bin_limits(rows, self.features, self.bins)
+        return cut(trees.with_bins(rows, self.features, limits, keys), "binned"), limits
 
     def fit(self, df: DataFrame) -> FittedRanker:
-        use_checkpoints(df.sparkSession)
-        rows = df.select("user_id", "item_id", F.col("target").cast("double").alias("target"), F.col(self.features).alias("features"))
-        rows = _lists(rows, self.list_rows).withColumn("score", F.lit(0.0))
-        # one shuffle for all rounds: the windows of every round find their lists in place
-        state = rows.repartition("user_id", "sublist").persist(StorageLevel.MEMORY_AND_DISK)
-        model = FittedRanker([], [], self.features)
-        for r in range(self.rounds):
-            graded = ranking_gradients(state, r, self.seed, self.permutations, self.decay)
-            graded = graded.persist(StorageLevel.MEMORY_AND_DISK)
-            tree = DecisionTreeRegressor(
-                featuresCol="features",
-                labelCol="grad",
-                maxDepth=self.depth,
-                maxBins=self.bins,
-                minInstancesPerNode=1,
-                seed=self.seed + r,
-                leafCol="_leaf",
-                predictionCol="",
-            ).fit(graded)
-            # splits follow the gradients, leaf values are Newton steps; 2^depth leaves at most
-            sums = tree.transform(graded).groupBy("_leaf").agg(F.sum("grad").alias("g"), F.sum("hess").alias("h")).collect()
-            values = [0.0] * (1 + int(max((s["_leaf"] for s in sums), default=0)))
-            for s in sums:
-                values[int(s["_leaf"])] = self.rate * s["g"] / (s["h"] + self.l2)
-            model.trees.append(tree)
-            model.leaves.append(values)
-            moved = (
-                tree.transform(state).withColumn("score", F.col("score") + _leaf_value("_leaf", values)).drop("_leaf")
-            )
-            if (r + 1) % self.cut_every == 0 and r + 1 < self.rounds:
-                moved = cut(moved, "ranker").repartition("user_id", "sublist")
-            moved = moved.persist(StorageLevel.MEMORY_AND_DISK)
-            moved.count()
-            graded.unpersist()
-            state.unpersist()
-            state = moved
-        state.unpersist()
-        return model
+        rows, limits = self.binned(df)
+        hot = detect_hot(rows, ["user_id"], self.hot_rows)
+
+        def gradients(state: DataFrame, r: int) -> DataFrame:
+            return ranking_gradients(state, r, self.seed, self.permutations, self.decay, hot, self.hot_rows)
+
+        grown, leaves = boost(
+            rows, limits, self.rounds, self.depth, self.bins, self.rate, self.l2, gradients, ["user_id", "item_id"], self.cut_every
+        )
+        return FittedRanker(grown, leaves, self.features)
 
 
 @dataclass
 class FittedClassifier:
-    model: object
+    model: FittedRanker | LogisticRegressionModel
     features: str
 
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
+        if isinstance(self.model, FittedRanker):
+            return self.model.predict(df, output).withColumn(output, 1 / (1 + F.exp(-F.col(output))))
         model = self.model.copy()
         model.setPredictionCol("").setRawPredictionCol("_raw").setProbabilityCol("_probability")
         scored = model.transform(df).withColumn(output, vector_to_array("_probability")[1])
         return scored.drop("_raw", "_probability")
 
 
+def logistic_gradients(df: DataFrame) -> DataFrame:
+    """Add ``grad`` and ``hess`` of the logistic loss of a like (target 1 against the rest)."""
+    chance = 1 / (1 + F.exp(-F.col("score")))
+    return df.withColumn("_chance", chance).withColumns(
+        {"grad": (F.col("target") == 1).cast("double") - F.col("_chance"), "hess": F.col("_chance") * (1 - F.col("_chance"))}
+    ).drop("_chance")
+
+
 @dataclass(frozen=True)
 class ClassifierSpec:
     """Probability of a like (target 1 against the rest) from boosted trees or a logistic model."""
 
     kind: str = "gbt"
-    rounds: int = 20
+    rounds: int = 100
     depth: int = 5
     seed: int = 32
     features: str = "features"
+    rate: float = 0.1
+    bins: int = 64
+    l2: float = 3.0
+    cut_every: int = 10
 
     def fit(self, df: DataFrame) -> FittedClassifier:
-        use_checkpoints(df.sparkSession)
-        rows = df.withColumn("_label", (F.col("target") == 1).cast("double"))
         if self.kind == "gbt":
-            learner = GBTClassifier(maxIter=self.rounds, maxDepth=self.depth, seed=self.seed)
-        elif self.kind == "logistic":
-            learner = LogisticRegression(maxIter=self.rounds, regParam=0.01)
-        else:
+            shape = RankerSpec(self.rounds, self.depth, self.rate, self.bins, self.l2, features=self.features)
+            rows, limits = shape.binned(df)
+            grown, leaves = boost(
+                rows, limits, self.rounds, self.depth, self.bins, self.rate, self.l2,
+                lambda state, r: logistic_gradients(state), ["user_id", "item_id"], self.cut_every,
+            )
+            return FittedClassifier(FittedRanker(grown, leaves, self.features), self.features)
+        if self.kind != "logistic":
             raise ValueError(f"unknown classifier {self.kind!r}")
-        learner.setFeaturesCol(self.features).setLabelCol("_label")
-        return FittedClassifier(learner.fit(rows), self.features)
+        use_checkpoints(df.sparkSession)
+        learner = LogisticRegression(maxIter=self.rounds, regParam=0.01, featuresCol=self.features, labelCol="_label")
+        return FittedClassifier(learner.fit(df.withColumn("_label", (F.col("target") == 1).cast("double"))), self.features)
 
 
 @dataclass
