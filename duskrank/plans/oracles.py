@@ -267,6 +267,27 @@ def _auc(table: str, score: str) -> str:
         GROUP BY a.user_id"""
 
 
+# gradients of the ranker: noise from md5, neighbours by a self-join on places
+_CTES["states"] = """
+    SELECT draw, user_id, item_id, target, CASE WHEN draw = 0 THEN 0.0::DOUBLE ELSE (item_id % 7) / 3.0::DOUBLE END AS score
+    FROM (SELECT user_id, item_id, "like" - dislike AS target,
+                 row_number() OVER (PARTITION BY user_id, item_id ORDER BY pos DESC) AS k FROM cb),
+         (SELECT unnest([0, 1]) AS draw)
+    WHERE k = 1"""
+_CTES["noisy"] = """
+    SELECT s.*, p.k,
+           (CAST('0x' || substr(md5(concat_ws(':', user_id, item_id, 32, draw, p.k)), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+           / 4294967296.0::DOUBLE AS x
+    FROM states s, (SELECT unnest([0, 1, 2]) AS k) p"""
+_CTES["noisy_places"] = """
+    SELECT *, row_number() OVER (PARTITION BY draw, k, user_id ORDER BY score + ln(x / (1 - x)) DESC, item_id) AS place FROM noisy"""
+_CTES["noisy_pairs"] = """
+    SELECT a.draw, a.user_id, a.item_id AS upper, b.item_id AS lower, sign(a.target - b.target) AS s,
+           pow(0.85::DOUBLE, a.place - 1) * abs(a.target - b.target) AS w,
+           1 / (1 + exp(sign(a.target - b.target) * (a.score - b.score))) AS wrong
+    FROM noisy_places a JOIN noisy_places b
+         ON a.draw = b.draw AND a.k = b.k AND a.user_id = b.user_id AND b.place = a.place + 1"""
+
 _CTES["graded"] = 'SELECT user_id, timespent, "like" - dislike AS target FROM interactions'
 _CTES["time_auc"] = _auc("graded", "timespent")
 for _s in ("predictions", "timespent", "neg_time"):
@@ -399,6 +420,30 @@ _SELECTS: dict[str, str] = {
                                    'predict_lfm_source_add_like']) AS model) m
         LEFT JOIN (SELECT DISTINCT user_id FROM w_like) u ON u.user_id = p.user_id
         LEFT JOIN (SELECT DISTINCT item_id FROM w_like) i ON i.item_id = p.item_id""",
+    "side_values": """
+        SELECT DISTINCT 'user' AS side, user_id AS id, 'gender' AS feature, CAST(CAST(gender AS INTEGER) AS VARCHAR) AS value
+        FROM users WHERE gender IS NOT NULL
+        UNION SELECT 'user', user_id, 'age', CAST(CAST(age AS INTEGER) AS VARCHAR) FROM users WHERE age IS NOT NULL
+        UNION SELECT 'item', item_id, 'source_id', CAST(source_id AS VARCHAR) FROM items WHERE source_id IS NOT NULL
+        UNION SELECT 'source', source_id, 'parity', CAST(source_id % 2 AS VARCHAR) FROM items WHERE source_id IS NOT NULL""",
+    "side_feature_flags": """
+        SELECT 'predict_lfm_item_like' AS model, user_id, item_id,
+               NOT ((user_id IN (SELECT user_id FROM w_like) OR user_id IN (SELECT user_id FROM users))
+                    AND (item_id IN (SELECT item_id FROM w_like) OR item_id IN (SELECT item_id FROM items))) AS is_cold
+        FROM test_pairs
+        UNION ALL
+        SELECT 'predict_lfm_source_like', user_id, item_id,
+               NOT ((user_id IN (SELECT user_id FROM rekeyed) OR user_id IN (SELECT user_id FROM users))
+                    AND item_id IN (SELECT item_id FROM items))
+        FROM test_pairs""",
+    "ranker_gradients": """
+        SELECT s.draw, s.user_id, s.item_id, CAST(s.target AS DOUBLE) AS target,
+               round(coalesce(sum(p.g), 0) + 3e-10, 6) AS grad, round(coalesce(sum(p.h), 0) + 3e-10, 6) AS hess
+        FROM states s LEFT JOIN (
+            SELECT draw, user_id, upper AS item_id, w * s * wrong AS g, w * wrong * (1 - wrong) AS h FROM noisy_pairs
+            UNION ALL SELECT draw, user_id, lower, -w * s * wrong, w * wrong * (1 - wrong) FROM noisy_pairs) p
+          ON p.draw = s.draw AND p.user_id = s.user_id AND p.item_id = s.item_id
+        GROUP BY s.draw, s.user_id, s.item_id, s.target""",
     "split_files": """
         SELECT user_id, item_id, pos, 'als' AS part FROM als
         UNION ALL SELECT user_id, item_id, pos, 'cb' FROM cb

@@ -354,6 +354,45 @@ def _cold_flags(i: Inputs) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def _side_features(i: Inputs) -> fleet.SideFeatures:
+    """Gender and age of users, source of items, parity of sources."""
+    whole = i.users.select("user_id", F.col("gender").cast("int").alias("gender"), F.col("age").cast("int").alias("age"))
+    sources = i.items.select("source_id", (F.col("source_id") % 2).alias("parity"))
+    return fleet.SideFeatures(
+        features.categorical_values(whole, "user_id", ["gender", "age"]),
+        features.categorical_values(i.items, "item_id", ["source_id"]),
+        features.categorical_values(sources, "source_id", ["parity"]),
+    )
+
+
+def _side_values(i: Inputs) -> DataFrame:
+    side = _side_features(i)
+    tables = {"user": side.users, "item": side.items, "source": side.sources}
+    return reduce(DataFrame.unionByName, [df.withColumn("side", F.lit(name)) for name, df in tables.items()])
+
+
+def _side_flags(i: Inputs) -> DataFrame:
+    """Which holdout pairs the pairwise models know with side features: (model, user_id, item_id, is_cold)."""
+    train, side, out = cut(i.like, "set"), _side_features(i), []
+    for name in ("predict_lfm_item_like", "predict_lfm_source_like"):
+        spec = next(m for m in fleet.FLEET if m.name == name)
+        model = fleet.fit_model(spec, train, i.items, _SMALL, hot=i.hot_users, side=side)
+        scored = fleet.score_model(spec, model, i.test_pairs, train, i.items)
+        out.append(scored.select(F.lit(name).alias("model"), "user_id", "item_id", "is_cold"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _ranker_gradients(i: Inputs) -> DataFrame:
+    """Gradients of the ranker's rows in the first round, and in the second with scores made from the ids."""
+    rows = split.latest_pairs(i.ranker).select("user_id", "item_id", target().cast("double").alias("target"))
+    spec, out = ranker.RankerSpec(), []
+    for draw, score in enumerate((F.lit(0.0), F.col("item_id") % 7 / 3.0)):
+        state = rows.withColumn("score", score)
+        graded = ranker.ranking_gradients(state, draw, spec.seed, spec.permutations, spec.decay, i.hot_users, spec.hot_rows)
+        out.append(graded.select(F.lit(draw).alias("draw"), "user_id", "item_id", "target", "grad", "hess"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _vectors(i: Inputs) -> tuple[DataFrame, DataFrame]:
     """Assembled ranker rows: (rows of the ranker part, holdout rows)."""
     tables = {name: cut(df, name) for name, df in i.statistics().items()}
@@ -515,6 +554,9 @@ MODELS: dict[str, Callable[[Inputs], DataFrame]] = {
     "user_split": _user_split,
     "run_log": _run_log,
     "cold_flags": _cold_flags,
+    "side_values": _side_values,
+    "side_feature_flags": _side_flags,
+    "ranker_gradients": _ranker_gradients,
     "split_files": _split_files,
     "pair_files": _pair_files,
     "submission_files": _submission_files,
