@@ -48,3 +48,12 @@ def same_key(left: DataFrame, right: DataFrame, *names: str) -> Column:
     for name in names:
         on = on & left[name].eqNullSafe(right[name])
     return on
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression: unsigned CRC-32 of the UTF-8 bytes of ``text`` (characters up to U+07FF), bit by bit."""
+    points = f"list_transform(string_split({text}, ''), lambda ch: unicode(ch))"
+    octets = f"flatten(list_transform({points}, lambda p: CASE WHEN p < 128 THEN [p] ELSE [192 + (p >> 6), 128 + (p & 63)] END))"
+    bit = "lambda x, i: xor(x >> 1, 3988292384 * (x & 1))"
+    octet = f"lambda c, o: list_reduce([xor(c, o), 0, 0, 0, 0, 0, 0, 0, 0], {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}::BIGINT[]), {octet}), 4294967295)"

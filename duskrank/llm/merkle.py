@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from duskrank.llm.common import same_key
+from duskrank.llm.common import crc32_sql, same_key
 from duskrank.session import cut
 
 FANOUT = 3
@@ -277,3 +277,64 @@ def without_newlines(docs: DataFrame) -> Column:
     """Every second document's text (by the checksum of its id) without newlines, the others' as they are."""
     chosen = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 2 == 0
     return F.when(chosen, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    parts = [f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in fields]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _tree_sql(name: str, base: str) -> str:
+    """CTEs of a forest: <name>(tree, level, pos, h, n) from its leaves, and <name>_run with every node's siblings."""
+    run = f"PARTITION BY tree, level, pos // {FANOUT} ORDER BY pos"
+    return f"""
+{name} AS (
+  {base}
+  UNION ALL
+  SELECT tree, level + 1, pos // {FANOUT}, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + {FANOUT - 1}) // {FANOUT}
+  FROM {name} WHERE n > 1 GROUP BY tree, level, pos // {FANOUT}),
+{name}_run AS (
+  SELECT tree, level, pos,
+         coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {name} WHERE n > 1),"""
+
+
+def _fold_sql(name: str, tree: str, base: str) -> str:
+    """CTE that carries a digest and its proof up a tree, one level per step."""
+    return f"""
+{name} AS (
+  {base}
+  UNION ALL
+  SELECT f.r, f.tree, f.level + 1, f.pos // {FANOUT}, sha256(t.before || f.h || t.after), f.proof || t.before || t.after
+  FROM {name} f JOIN {tree}_run t ON t.tree IS NOT DISTINCT FROM f.tree AND t.level = f.level AND t.pos = f.pos),"""
+
+
+_LEAVES = "SELECT source AS tree, 0::BIGINT AS level, pos::BIGINT AS pos, leaf AS h, n::BIGINT AS n FROM placed"
+_SUBROOTS = "SELECT 0 AS tree, 0::BIGINT AS level, pos::BIGINT AS pos, h, n::BIGINT AS n FROM subroots"
+_TAMPERED = "SELECT r, source AS tree, 0::BIGINT AS level, pos::BIGINT AS pos, other AS h, '' AS proof FROM placed"
+_FOLDED = """SELECT e.r, 0 AS tree, 0::BIGINT AS level, s.pos::BIGINT AS pos, e.h, e.proof
+  FROM inner_end e JOIN placed p ON p.r = e.r JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source"""
+
+SQL = f"""
+WITH RECURSIVE tampered AS (
+  SELECT *, CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed
+  FROM documents),
+leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_leaf_sql("text")} AS leaf, {_leaf_sql("changed")} AS other FROM tampered),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS n
+  FROM leaves),{_tree_sql("nodes", _LEAVES)}
+subroots AS (
+  SELECT tree AS source, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),{_tree_sql("top", _SUBROOTS)}{_fold_sql("inner_fold", "nodes", _TAMPERED)}
+inner_end AS (
+  SELECT r, max_by(h, level) AS h, max_by(proof, level) AS proof FROM inner_fold GROUP BY r),{_fold_sql("outer_fold", "top", _FOLDED)}
+outer_end AS (SELECT r, max_by(h, level) AS h, max_by(proof, level) AS proof FROM outer_fold GROUP BY r),
+root AS (SELECT h FROM top WHERE n = 1)
+SELECT p.doc_id, p.leaf, s.h AS subroot, root.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root,
+       e.h = root.h AS verified
+FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source JOIN outer_end e ON e.r = p.r, root
+"""

@@ -98,4 +98,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_line_quality": line_quality.SQL,
     "op10_source_mix": mixing.SQL,
     "op11_spherical_caps": spherical_caps.SQL,
+    "op12_merkle_manifest": merkle.SQL,
+    "op13_spelling_variants": spelling.SQL,
 }

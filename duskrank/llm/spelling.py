@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskrank.llm.common import slices
+from duskrank.llm.common import ASCII_LOWER, ASCII_UPPER, crc32_sql, slices
 from duskrank.session import cut
 
 # Fixed rules of the result contract: letters, shortest word, least count, every how many runs a letter is lost.
@@ -245,3 +245,38 @@ def variants(docs: DataFrame, min_count: int = MIN_COUNT, lead: int = LEAD, bloc
     return known.join(ends, "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )
+
+
+# near words meet by a letter left out: at the same place in both (replaced), or in the longer one only
+SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), '{ASCII_UPPER}', '{ASCII_LOWER}') AS run
+  FROM documents),
+hashed AS (
+  SELECT run, c, {crc32_sql("coalesce(doc_id::VARCHAR, 'null') || ':' || run")} AS h
+  FROM (SELECT doc_id, run, count(*) AS c FROM runs WHERE length(run) >= {MIN_LENGTH} GROUP BY doc_id, run)),
+spelt AS (
+  SELECT c, CASE WHEN h % {LOST} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+  FROM hashed),
+words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM spelt WHERE length(word) >= {MIN_LENGTH} GROUP BY word HAVING sum(c) >= {MIN_COUNT}),
+cuts AS (
+  SELECT word, k, substr(word, 1, k) || substr(word, k + 2) AS rest
+  FROM (SELECT word, unnest(range(length(word))) AS k FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT word, rest FROM cuts WHERE rest IN (SELECT word FROM words)
+  UNION SELECT rest, word FROM cuts WHERE rest IN (SELECT word FROM words)),
+best AS (
+  SELECT near.word, count(*) AS n_near, first(o.word ORDER BY o.n DESC, o.word) AS form, max(o.n) AS form_n
+  FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+led AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= {LEAD} * w.n THEN b.form END AS form,
+         CASE WHEN b.form_n >= {LEAD} * w.n THEN b.form_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+steps AS (
+  SELECT word, word AS root, 0 AS step FROM led
+  UNION ALL SELECT s.word, l.form, s.step + 1 FROM steps s JOIN led l ON l.word = s.root WHERE l.form IS NOT NULL)
+SELECT led.word, led.form, e.root, led.n, led.n_near, led.form_n
+FROM led JOIN (SELECT word, max_by(root, step) AS root FROM steps GROUP BY word) e ON e.word = led.word
+"""
