@@ -14,6 +14,7 @@ one another in the order of their texts' hashes; a null id comes first.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -47,11 +48,12 @@ WRITE_OPTIONS = {
 def _parts(word: str) -> tuple[str, ...]:
     """Cuts a word of letters from the marks behind it, between which the tokenizer cuts as well.
 
-    Limited to Latin letters, about which all Unicode versions agree; ASCII is lower-cased as the
-    tokenizer does.
+    Limited to Latin letters, about which all Unicode versions agree, that are letters in lower case too (a
+    dotted capital I becomes a letter and a combining dot, which stays with the marks); ASCII is lower-cased as
+    the tokenizer does.
     """
     core = word.rstrip(".,;:!?*$%&#|")
-    if not core.isalpha() or max(core) > "\u024f":
+    if not core.isalpha() or max(core) > "\u024f" or not unicodedata.normalize("NFC", core.lower()).isalpha():
         return (word,)
     tail = word[len(core) :]
     core = core.lower() if core.isascii() else core
@@ -84,6 +86,9 @@ class Words(dict):
             self.update((w, ids) for w, ids in known.items() if len(w) < 100)
         return known
 
+    def ids(self, texts: list[str | None]) -> list[list[int]]:
+        return [np.frombuffer(c, dtype="<i4").tolist() for c in self.encode(texts)]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self._words(t) for t in texts]
         new = {w for words in split for w in words if w not in self}

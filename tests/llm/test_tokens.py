@@ -1,11 +1,13 @@
 """Byte-level BPE against tiktoken, token files against the tokenizers library."""
 
 import base64
+import glob
 import hashlib
 import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import public_tokenizers as public
 import pytest
 import tiktoken
@@ -72,8 +74,22 @@ def test_empty_tables(spark, no_docs):
 def test_parts_are_exact(reference):
     tokenizer, words = Tokenizer.from_file(WORDS), token_files.Words(WORDS, 10)
     texts = ["It's 'don't.' Ünd ß... (naïve) 12.5%,", "a\x1cb c\x1d", "<|endoftext|>. x<|endoftext|>", "É́t.é, İi ΑΣ Σ.", ""]
-    for text, coded in zip(texts, words.encode(texts), strict=True):
-        assert np.frombuffer(coded, dtype="<i4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    for text, ids in zip(texts, words.ids(texts), strict=True):
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_random_strings_equal_the_library():
+    """Marks, combining marks, letters with odd lower cases and odd spaces in any order."""
+    tokenizer, words, rng = Tokenizer.from_file(WORDS), token_files.Words(WORDS, 500), random.Random(8)
+    letters = [*"abEVNZLIxyz", "İ", "ı", "ß", "ẞ", "Σ", "ς", "Ǆ", "é", "É", "ﬁ", "ʼn", "K", "Å", "ü", "東", "🙂", "ø"]
+    marks = [*".,;:!?*$%&#|'-_()<>0129", "\u0307", "\u0301", "\u0308", "\u200d"]
+    spaces = [*" \t\n\r\x0b\x0c\x1c\x1f\x85", "\u00a0", "\u2009", "\u3000", "\u2028"]
+    texts = ["EVİ.", "DENİZLİ, 1990", "İ", "İ.", "i\u0307.", " a ", "", "\u00a0.", None]
+    for _ in range(4000):
+        texts.append("".join(rng.choice(rng.choice((letters, letters, letters, marks, spaces))) for _ in range(rng.randint(1, 14))))
+    got = words.ids(texts)
+    for text, ids in zip(texts, got, strict=True):
+        assert ids == tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
 def test_token_files(spark, edge_docs):
@@ -99,3 +115,27 @@ def test_selective_reads_skip_the_ids(spark, edge_docs):
     token_files.write_token_files(edge_docs, path, WORDS, 2)
     plan = spark.read.parquet(path).filter("doc_id = 3").select("n_tokens")._jdf.queryExecution().toString()
     assert "ids" not in plan.split("ReadSchema")[1] and "EqualTo(doc_id,3)" in plan
+
+
+def test_files_have_the_set_layout(spark, edge_docs, make_docs, prose):
+    """Dictionaries, delta encodings, page indexes and page sizes as the files themselves say."""
+    docs = edge_docs.unionByName(make_docs([(100 + k, prose(k % 40, 30), "a") for k in range(3000)]))
+    path = f"{scratch_root(spark)}/layout_tokens"
+    token_files.write_token_files(docs.coalesce(1), path, WORDS, 2)
+    files = [f for f in glob.glob(f"{path.removeprefix('file://')}/*.parquet")]
+    pages = 0
+    for name in files:
+        meta = pq.ParquetFile(name).metadata
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size <= 48 << 20
+            for c in range(group.num_columns):
+                column = group.column(c)
+                where = column.path_in_schema
+                assert column.has_offset_index and (column.has_column_index or where.startswith("ids"))
+                if where.startswith("ids"):
+                    assert column.has_dictionary_page and "RLE_DICTIONARY" in column.encodings
+                elif where != "part":
+                    assert not column.has_dictionary_page and "DELTA_BINARY_PACKED" in column.encodings, column
+                pages += where == "doc_id"
+    assert files and pages >= 1
