@@ -267,12 +267,8 @@ def nearest_quantiles(
     )
 
 
-def tied_modes(df: DataFrame, key: str, value: str, names: dict[str, Column | None]) -> DataFrame:
-    """All most frequent non-null values per key, as sorted arrays (empty when there are none).
-
-    ``names`` maps an output column to the predicate its rows must satisfy (None: all rows). The counts
-    per (key, value) are made first, so a key brings at most as many rows as it has distinct values.
-    """
+def _counts_and_tops(df: DataFrame, key: str, value: str, names: dict[str, Column | None]) -> tuple[DataFrame, DataFrame]:
+    """Long counts (_key, value, name, _c) of the values, and their maximum per (_key, name); zero where all are null."""
     known = F.col(value).isNotNull()
     counts = df.groupBy(key, value).agg(
         *[
@@ -280,15 +276,34 @@ def tied_modes(df: DataFrame, key: str, value: str, names: dict[str, Column | No
             for k, p in enumerate(names.values())
         ]
     )
-    of_key = Window.partitionBy(key)
-    top = counts.withColumns({f"_top{k}": F.max(f"_c{k}").over(of_key) for k in range(len(names))})
-    return top.groupBy(key).agg(
-        *[
-            F.sort_array(
-                F.collect_list(F.when((F.col(f"_c{k}") == F.col(f"_top{k}")) & (F.col(f"_c{k}") > 0), F.col(value)))
-            ).alias(name)
-            for k, name in enumerate(names)
-        ]
+    each = F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"_c{k}").alias("c")) for k, name in enumerate(names)])
+    # a null key is a key of its own
+    long = counts.select(F.struct(key).alias("_key"), F.col(value), F.explode(each).alias("_n"))
+    long = long.select("_key", value, "_n.name", F.col("_n.c").alias("_c"))
+    return long.filter(F.col("_c") > 0), long.groupBy("_key", "name").agg(F.max("_c").alias("_c"))
+
+
+def mode_rows(df: DataFrame, key: str, value: str, names: dict[str, Column | None]) -> DataFrame:
+    """All most frequent non-null values per key, a row each: (key, name, value).
+
+    ``names`` maps a name to the predicate its rows must satisfy (None: all rows). Counts per (key, value) are made
+    first. The maximum per key is an aggregation with partial maxima in every task, and the counts meet it in a
+    join, whose skewed side is the counts': so the values of a hot key spread over many tasks and none is held as
+    an array.
+    """
+    long, top = _counts_and_tops(df, key, value, names)
+    return long.join(top, ["_key", "name", "_c"]).select(F.col("_key")[key].alias(key), "name", value)
+
+
+def tied_modes(df: DataFrame, key: str, value: str, names: dict[str, Column | None]) -> DataFrame:
+    """``mode_rows`` as sorted arrays, a column per name; a key without modes has empty arrays."""
+    long, top = _counts_and_tops(df, key, value, names)
+    lists = long.join(top, ["_key", "name", "_c"]).groupBy("_key").agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("name") == name, F.col(value)))).alias(name) for name in names]
+    )
+    none = F.array().cast(lists.schema[next(iter(names))].dataType)
+    return top.select("_key").distinct().join(lists, "_key", "left").select(
+        F.col("_key")[key].alias(key), *[F.coalesce(name, none).alias(name) for name in names]
     )
 
 

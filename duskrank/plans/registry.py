@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duskrank.functions.exprs import target
-from duskrank.functions.ordered import Hot, detect_hot, nearest_quantiles, tied_modes
+from duskrank.functions.ordered import Hot, detect_hot, mode_rows, nearest_quantiles
 from duskrank.models import ease, ranker, search, sequence
 from duskrank.operators import features, metrics, scoring, split, stats, vectors, weights
 from duskrank.plans import fleet
@@ -198,8 +198,7 @@ def _user_mean_vector(i: Inputs) -> DataFrame:
 
 
 def _mode_ties(i: Inputs) -> DataFrame:
-    modes = tied_modes(i.interactions, "user_id", "item_id", {"modes": None})
-    return modes.select("user_id", F.explode("modes").alias("item_id"))
+    return mode_rows(i.interactions, "user_id", "item_id", {"modes": None}).drop("name")
 
 
 def _user_stats(i: Inputs) -> DataFrame:

@@ -15,6 +15,7 @@ from duskrank.functions.ordered import (
     nearest_quantiles,
     positions,
     running_totals,
+    mode_rows,
     tied_modes,
 )
 
@@ -120,3 +121,21 @@ def test_dense_index(spark):
     rows = dense_index(ids, "id", "n").collect()
     assert sorted(r.n for r in rows) == list(range(len(rows)))
     assert len({r.id for r in rows}) == len(rows) == 304
+
+
+def test_modes_of_a_key_with_very_many_values(spark):
+    """A key of 100,000 distinct values that all tie, one with a single mode, a null key, a key of nulls."""
+    hot = spark.range(100_000).select(F.lit(1).cast("long").alias("k"), F.col("id").alias("v"))
+    rows = spark.createDataFrame([(2, 7), (2, 7), (2, 8), (None, 3), (4, None)], "k long, v long")
+    df = hot.unionByName(rows)
+    found = mode_rows(df, "k", "v", {"all": None, "even": F.col("v") % 2 == 0})
+    sizes = {(r.k, r["name"]): (r.n, r.s) for r in found.groupBy("k", "name").agg(F.count("*").alias("n"), F.sum("v").alias("s")).collect()}
+    assert sizes == {
+        (1, "all"): (100_000, 99_999 * 50_000), (1, "even"): (50_000, 49_999 * 50_000),
+        (2, "all"): (1, 7), (2, "even"): (1, 8), (None, "all"): (1, 3),
+    }
+    lists = {r.k: (len(r["all"]), len(r["even"])) for r in tied_modes(df, "k", "v", {"all": None, "even": F.col("v") % 2 == 0}).collect()}
+    assert lists == {1: (100_000, 50_000), 2: (1, 1), None: (1, 0), 4: (0, 0)}
+    # the counts meet the maxima in a join that can split a hot key; no window holds a key together
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "collect_list" not in plan
