@@ -17,6 +17,8 @@ from duskrank.session import cut
 
 _PAIRS_AT_ONCE = 2_000_000
 _SUMS_HELD = 4_000_000
+# items of a user that pair up in one task
+USER_CHUNK = 2048
 
 
 def _sum_by_code(codes: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -24,22 +26,37 @@ def _sum_by_code(codes: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.
     return code, np.bincount(at, weights=np.concatenate(values), minlength=len(code))
 
 
-def _user_products(users: np.ndarray, items: np.ndarray, weights: np.ndarray, n_items: int):
-    """Codes j * n + i (j <= i) and weight products of every user's items, in bounded portions."""
-    first = np.flatnonzero(np.r_[True, users[1:] != users[:-1]])
-    length = np.diff(np.r_[first, len(users)])
-    # row r pairs with the rows from itself to the end of its user
-    ahead = np.repeat(first + length, length) - np.arange(len(users))
+def _starts(rows: pd.DataFrame) -> np.ndarray:
+    """First row of every cell (u, a, b); rows of a cell stand together."""
+    keys = [rows[c].to_numpy() for c in ("u", "a", "b")]
+    return np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+
+
+def _cell_products(rows: pd.DataFrame, n_items: int):
+    """Codes j * n + i (j <= i) and weight products of the pairs of every cell, in bounded portions.
+
+    In a cell of one chunk (a = b) a row pairs with itself and the rows behind it, in a cell of two chunks the rows
+    of the first (which stand first) pair with those of the second.
+    """
+    items, weights = rows["i"].to_numpy().astype("int64"), rows["weight"].to_numpy()
+    second, across = rows["second"].to_numpy(), rows["a"].to_numpy() != rows["b"].to_numpy()
+    first = _starts(rows)
+    length = np.diff(np.r_[first, len(rows)])
+    end = np.repeat(first + length, length)
+    firsts = np.repeat(np.add.reduceat((~second).astype("int64"), first) + first, length)
+    begin = np.where(across, np.where(second, end, firsts), np.arange(len(rows)))
+    ahead = end - begin
     ends = np.cumsum(ahead)
     start = 0
-    while start < len(users):
+    while start < len(rows):
         done = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, done + _PAIRS_AT_ONCE, side="right")))
         count = ahead[start:stop]
         left = np.repeat(np.arange(start, stop), count)
-        right = left + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        a, b = items[left].astype("int64"), items[right].astype("int64")
-        yield np.minimum(a, b) * n_items + np.maximum(a, b), weights[left] * weights[right]
+        right = np.repeat(begin[start:stop], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        if len(left):
+            a, b = items[left], items[right]
+            yield np.minimum(a, b) * n_items + np.maximum(a, b), weights[left] * weights[right]
         start = stop
 
 
@@ -56,9 +73,7 @@ def _gram_of_partition(n_items: int):
 
         def fold(rows: pd.DataFrame):
             nonlocal held, held_codes, held_values
-            for code, value in _user_products(
-                rows["u"].to_numpy(), rows["i"].to_numpy(), rows["weight"].to_numpy(), n_items
-            ):
+            for code, value in _cell_products(rows, n_items):
                 c, v = _sum_by_code([code], [value])
                 held_codes.append(c)
                 held_values.append(v)
@@ -74,8 +89,8 @@ def _gram_of_partition(n_items: int):
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             if rows.empty:
                 continue
-            # the last user of a batch may go on in the next one
-            cut_at = int(np.searchsorted(rows["u"].to_numpy(), rows["u"].iloc[-1]))
+            # the last cell of a batch may go on in the next one
+            cut_at = int(_starts(rows)[-1])
             rest = rows.iloc[cut_at:]
             if cut_at:
                 yield from fold(rows.iloc[:cut_at])
@@ -87,14 +102,32 @@ def _gram_of_partition(n_items: int):
     return run
 
 
-def gram(entries: DataFrame, n_items: int) -> DataFrame:
+def user_cells(entries: DataFrame, chunk: int = USER_CHUNK) -> DataFrame:
+    """The entries (u, i, weight) in cells (u, a, b) of pairs of a user's chunks, ``second`` marking rows of chunk b.
+
+    A user's items are hashed into chunks of about ``chunk``; nearly all users have one chunk, one cell and no
+    copies. A user of n chunks has a row in n cells, so its pairs spread over n(n+1)/2 groups of bounded size.
+    """
+    counts = entries.groupBy("u").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk)
+    chunks = counts.select("u", F.ceil(F.col("_n") / chunk).cast("int").alias("_chunks"))
+    many = F.coalesce("_chunks", F.lit(1))
+    placed = entries.select("u", "i", "weight").join(chunks, "u", "left").withColumn("_own", F.pmod(F.xxhash64("i"), many).cast("int"))
+    met = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), many - 1)))
+    return met.select(
+        "u", "i", "weight",
+        F.least("_own", "_other").alias("a"), F.greatest("_own", "_other").alias("b"), (F.col("_own") > F.col("_other")).alias("second"),
+    )
+
+
+def gram(entries: DataFrame, n_items: int, chunk: int = USER_CHUNK) -> DataFrame:
     """Upper triangle (j <= i) of X'X from one row per (u, i).
 
-    Each task sums its users' products before anything is shuffled. A user has at most ``n_items`` rows,
-    and the products are formed in portions of fixed size.
+    Each task sums its cells' products before anything is shuffled; a very active user's pairs are spread over
+    many tasks, and the products are formed in portions of fixed size.
     """
-    by_user = entries.select("u", "i", "weight").repartition("u").sortWithinPartitions("u", "i")
-    sums = by_user.mapInPandas(_gram_of_partition(n_items), "j int, i int, g double")
+    key = ["u", "a", "b"]
+    by_cell = user_cells(entries, chunk).repartition(*key).sortWithinPartitions(*key, "second", "i")
+    sums = by_cell.mapInPandas(_gram_of_partition(n_items), "j int, i int, g double")
     return sums.groupBy("j", "i").agg(F.sum("g").alias("g"))
 
 

@@ -63,6 +63,7 @@ def test_gram_portions(spark, sparse, monkeypatch):
     sums = sparse.toPandas().groupby(["user_id", "item_id"], as_index=False)["weight"].sum().sort_values(["user_id", "item_id"])
     sums["i"] = np.searchsorted(items, sums.item_id)
     batch = sums.rename(columns={"user_id": "u"})[["u", "i", "weight"]].reset_index(drop=True)
+    batch = batch.assign(a=0, b=0, second=False)
     parts = [batch.iloc[:50], batch.iloc[50:51], batch.iloc[51:]]
     for out in ease._gram_of_partition(len(items))(iter(parts)):
         codes.append(out["j"].to_numpy() * len(items) + out["i"].to_numpy())
@@ -73,6 +74,24 @@ def test_gram_portions(spark, sparse, monkeypatch):
     np.testing.assert_allclose(got.reshape(x.shape[1], -1), np.triu(x.T @ x), atol=1e-9)
 
 
+def test_pairs_of_a_user_with_half_the_entries_are_spread(spark):
+    rng = np.random.default_rng(7)
+    x = np.zeros((30, 300))
+    x[0, :200] = rng.normal(size=200)
+    for u in range(1, 30):
+        x[u, rng.choice(300, 7, replace=False)] = rng.normal(size=7)
+    entries = spark.createDataFrame([(int(u), int(i), float(x[u, i])) for u, i in zip(*np.nonzero(x))], "u long, i int, weight double")
+    for chunk in (16, 1000):
+        cells = ease.user_cells(entries, chunk).toPandas()
+        sizes = cells.groupby(["u", "a", "b"]).size()
+        assert len(sizes.loc[0]) == (13 * 14 // 2 if chunk == 16 else 1) and (chunk != 16 or sizes.max() <= 60)
+        assert (cells[cells.u != 0].groupby("u").size() == 7).all()  # other users have no copies
+        got = np.zeros((300, 300))
+        for r in ease.gram(entries, 300, chunk).collect():
+            got[r.j, r.i] = r.g
+        np.testing.assert_allclose(got, np.triu(x.T @ x), atol=1e-9)
+
+
 def test_gram_keeps_the_most_frequent_items(spark):
     rows = [(1, 1, 1.0, 1, 1), (2, 1, 1.0, 1, 1), (1, 2, 1.0, 1, 2), (2, 3, 1.0, 1, 2)]
     table = ease.gram_table(spark.createDataFrame(rows, SCHEMA), 2)
