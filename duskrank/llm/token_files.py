@@ -22,14 +22,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duskrank.llm.common import slices, text_key
 
 CACHED_WORDS = 900_000
-# str.split() takes these for white space, the tokenizer does not
-_ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 WRITE_OPTIONS = {
@@ -61,7 +60,7 @@ def _parts(word: str) -> tuple[str, ...]:
 
 
 class Words(dict):
-    """White-space-free word -> its ids as int32 bytes.
+    """Word without ASCII white space -> its ids as int32 bytes.
 
     The tokenizer lower-cases, drops white space and never merges across it, so a text's ids are its
     words' ids one after another. Unknown words are encoded by the tokenizers library, many at once.
@@ -87,24 +86,37 @@ class Words(dict):
         return known
 
     def ids(self, texts: list[str | None]) -> list[list[int]]:
-        return [np.frombuffer(c, dtype="<i4").tolist() for c in self.encode(texts)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._words(t) for t in texts]
-        new = {w for words in split for w in words if w not in self}
-        found = self.learn(list(new)) if new else {}
-        if not found:
-            return [b"".join(map(self.__getitem__, words)) for words in split]
-        self.late = found
-        return [b"".join(map(self.__getitem__, words)) for words in split]
-
-    def __missing__(self, word: str) -> bytes:
-        return self.late[word]
-
-    def _words(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        return [text] if any(c in text for c in _ODD_SPACE) else text.split()
+        values, ends = self.encode(pa.array(texts, pa.string()), [])
+        return [part.tolist() for part in np.split(values, ends[:-1])] if texts else []
+
+    def encode(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after another, each text's followed by ``end``, and where each text's ids end.
+
+        Arrow cuts the texts at ASCII white space (other white space stays inside words, where the tokenizer
+        drops it) and numbers the distinct words; only those are looked up, and numpy lays their ids out.
+        """
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = [w for w in names if w not in self]
+        found = self.learn(new) if new else {}
+        known = [found[w] if w in found else self[w] for w in names]
+        size = np.array([len(ids) // 4 for ids in known], dtype=np.int32)
+        flat, first = np.frombuffer(b"".join(known), dtype="<i4"), np.cumsum(size, dtype=np.int32) - size
+
+        per_word = size[code]
+        up_to = np.concatenate(([0], np.cumsum(per_word, dtype=np.int32)))
+        text_ends = up_to[lists.offsets.to_numpy() - lists.offsets[0].as_py()][1:]
+        place = np.arange(up_to[-1], dtype=np.int32)
+        source = place + np.repeat(first[code] - up_to[:-1], per_word)
+        if not end:
+            return flat[source], text_ends
+        ends = text_ends + len(end) * np.arange(1, len(texts) + 1, dtype=np.int32)
+        out = np.empty(ends[-1] if len(ends) else 0, dtype="<i4")
+        out[place + np.repeat(len(end) * np.arange(len(texts), dtype=np.int32), np.diff(text_ends, prepend=0))] = flat[source]
+        for k, token in enumerate(end):
+            out[ends - len(end) + k] = token
+        return out, ends
 
 
 @lru_cache(maxsize=2)
@@ -116,18 +128,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     """Encodes ``docs`` (doc_id, text) and writes the files of the module's format to ``path``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, place = _worker_words(tokenizer), np.array([end_id], dtype="<i4").tobytes(), 0
+        words, place = _worker_words(tokenizer), 0
         for batch in slices(batches, "text", 4 << 20):
-            coded = words.encode(batch.column("text").to_pylist())
-            counts = np.array([len(c) // 4 + 1 for c in coded], dtype=np.int64)
-            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(x for c in coded for x in (c, end)), dtype="<i4"))
+            values, ends = words.encode(batch.column("text"), [end_id])
+            offsets = np.concatenate(([0], ends)).astype(np.int32)
+            counts = np.diff(offsets).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(place + offsets[:-1].astype(np.int64)),
                     pa.array(counts),
-                    pa.ListArray.from_arrays(pa.array(offsets), values),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                 ],
                 ["doc_id", "start_in_part", "n_tokens", "ids"],
             )
@@ -165,7 +176,7 @@ def with_crc(tokens: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column("ids")
             data = memoryview(np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
-            edges = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False))))
+            edges = np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))))
             edges = (4 * edges).tolist()
             crcs = [zlib.crc32(data[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             columns = [batch.column(c) for c in ("doc_id", "start", "n_tokens")]

@@ -4,6 +4,7 @@ import base64
 import glob
 import hashlib
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -66,7 +67,7 @@ def test_other_columns_stay(edge_docs):
 
 def test_empty_tables(spark, no_docs):
     assert bpe.digests(no_docs, RANKS, public.PATTERN).count() == 0
-    path = f"{scratch_root(spark)}/no_tokens"
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}/no_tokens"
     token_files.write_token_files(no_docs, path, WORDS, 2)
     assert token_files.with_crc(token_files.read_token_files(spark, path)).count() == 0
 
@@ -93,7 +94,7 @@ def test_random_strings_equal_the_library():
 
 
 def test_token_files(spark, edge_docs):
-    path = f"{scratch_root(spark)}/edge_tokens"
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}/edge_tokens"
     token_files.write_token_files(edge_docs, path, WORDS, 2)
     got = token_files.with_crc(token_files.read_token_files(spark, path)).collect()
     tokenizer = Tokenizer.from_file(WORDS)
@@ -111,7 +112,7 @@ def test_token_files(spark, edge_docs):
 
 
 def test_selective_reads_skip_the_ids(spark, edge_docs):
-    path = f"{scratch_root(spark)}/selective_tokens"
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}/selective_tokens"
     token_files.write_token_files(edge_docs, path, WORDS, 2)
     plan = spark.read.parquet(path).filter("doc_id = 3").select("n_tokens")._jdf.queryExecution().toString()
     assert "ids" not in plan.split("ReadSchema")[1] and "EqualTo(doc_id,3)" in plan
@@ -120,7 +121,7 @@ def test_selective_reads_skip_the_ids(spark, edge_docs):
 def test_files_have_the_set_layout(spark, edge_docs, make_docs, prose):
     """Dictionaries, delta encodings, page indexes and page sizes as the files themselves say."""
     docs = edge_docs.unionByName(make_docs([(100 + k, prose(k % 40, 30), "a") for k in range(3000)]))
-    path = f"{scratch_root(spark)}/layout_tokens"
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}/layout_tokens"
     token_files.write_token_files(docs.coalesce(1), path, WORDS, 2)
     files = [f for f in glob.glob(f"{path.removeprefix('file://')}/*.parquet")]
     pages = 0
