@@ -52,9 +52,6 @@ BEGINNINGS = range(3, 13)
 # The lexicon and the score are fitted on at most so many labelled documents of each label, those whose
 # ids have the smallest hashes; a list of ids of that size is what is broadcast.
 TRAIN_ROWS = {1: 20_000, 0: 40_000}
-# Size of the model that is sent to the tasks; the strongest entries are kept.
-MAX_ENTRIES = 5000
-MAX_EXCEPTIONS = 5000
 SCORE_BINS = 64
 
 _FOLD = {ord(c): latin for latin, group in LOOK_ALIKES.items() for c in group}
@@ -100,7 +97,8 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], list[str]]:
     """(entry -> weight, exception words) from ``train`` (text, toxic 0/1).
 
-    An entry ending in a space is a whole word. Both parts have a size bound, so they fit the driver.
+    An entry ending in a space is a whole word. Every entry that passes the evidence rule is kept: it stands in
+    ``MIN_TOXIC_DOCS`` of the sample's documents, so the lexicon is bounded by the sample (``TRAIN_ROWS``), not by the corpus.
     """
     by_label = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     n_toxic, n_clean = by_label.get(1, 0), by_label.get(0, 0)
@@ -133,17 +131,16 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], list[str]]:
     inner = closed.select("part", F.explode(lengths).alias("k")).filter("k < length(part)")
     inner = inner.select("part", F.expr("substring(part, 1, k)").alias("start"))
     covered = inner.join(closed.select(F.col("part").alias("start")), "start", "left_semi").select("part").distinct()
-    chosen = closed.join(covered, "part", "left_anti").orderBy((F.col("toxic") * F.col("weight")).desc(), "part")
-    lexicon = {r["part"]: r["weight"] for r in chosen.limit(MAX_ENTRIES).select("part", "weight").collect()}
+    chosen = cut(closed.join(covered, "part", "left_anti").select("part", "weight"), "entries")
+    lexicon = {r["part"]: r["weight"] for r in chosen.collect()}
 
     starts = {e for e in lexicon if not e.endswith(" ")}
     if not starts:
         return lexicon, []
     own_odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     clean_words = words.filter((F.col("clean") > 0) & (own_odds < 1.0)).withColumn("part", F.explode(begins))
-    entry = chosen.limit(MAX_ENTRIES).select("part")
-    found = clean_words.join(entry, "part", "left_semi").orderBy(F.col("clean").desc(), "word").limit(MAX_EXCEPTIONS)
-    return lexicon, sorted({r["word"] for r in found.select("word").collect()})
+    found = clean_words.join(chosen, "part", "left_semi").select("word").distinct()
+    return lexicon, sorted(r["word"] for r in found.collect())
 
 
 @lru_cache(maxsize=2)
