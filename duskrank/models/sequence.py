@@ -17,18 +17,18 @@ SENTENCE = 1000
 
 
 def sentences(train: DataFrame, hot: Hot = True, limit: int = HOT_ROWS) -> DataFrame:
-    """Histories in ``pos`` order as arrays of item ids, at most SENTENCE items per row.
+    """Histories in ``pos`` order as rows (user_id, chunk, items): the chunk-th SENTENCE places of a history.
 
-    A view of the histories for reading; the fit takes them whole, from ``context_pairs``. The cut keeps a very
-    long history from becoming one array.
+    The chunks of a user, one after another, are the whole history; the cut keeps a very long one from becoming one
+    array. The fit takes histories whole, from ``context_pairs``.
     """
     placed = positions(train.select("user_id", "item_id", "pos"), hot=hot, limit=limit)
     chunk = F.floor((F.col("seq") - 1) / SENTENCE)
     return (
         placed.filter(F.col("item_id").isNotNull())
-        .groupBy("user_id", chunk.alias("_chunk"))
+        .groupBy("user_id", chunk.alias("chunk"))
         .agg(F.array_sort(F.collect_list(F.struct("seq", "item_id"))).alias("_rows"))
-        .select(F.transform("_rows", lambda r: r["item_id"].cast("string")).alias("items"))
+        .select("user_id", "chunk", F.transform("_rows", lambda r: r["item_id"].cast("string")).alias("items"))
     )
 
 

@@ -95,9 +95,14 @@ def source_rollup(weighted: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def with_pseudo_items(weighted: DataFrame, items: DataFrame) -> DataFrame:
-    """The set itself plus one pseudo-item per (user, source)."""
+    """The set itself plus one pseudo-item per (user, source).
+
+    An item id that pseudo-items could meet is an error; ``with_typed_pseudo_items`` takes any id.
+    """
     pseudo = source_rollup(weighted, items).withColumn("item_id", F.col("item_id") + SOURCE_OFFSET)
-    return weighted.select(*pseudo.columns).unionByName(pseudo)
+    meets = F.raise_error(F.concat(F.lit("item id reaches the pseudo-items: "), F.col("item_id").cast("string"))).cast("long")
+    own = weighted.withColumn("item_id", F.when(F.col("item_id") >= SOURCE_OFFSET, meets).otherwise(F.col("item_id")))
+    return own.select(*pseudo.columns).unionByName(pseudo)
 
 
 # kinds of a typed item key

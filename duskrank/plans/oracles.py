@@ -393,7 +393,9 @@ _SELECTS: dict[str, str] = {
                      LATERAL (SELECT unnest(range(len(i.embeddings))) AS dim) g
                 GROUP BY w.user_id, g.dim) GROUP BY user_id) h ON h.user_id = p.user_id""",
     "sequence_sentences": """
-        SELECT string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY pos) AS sentence FROM w_like GROUP BY user_id""",
+        SELECT user_id, chunk, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY pos) AS sentence
+        FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1) // 1000 AS chunk FROM w_like)
+        WHERE item_id IS NOT NULL GROUP BY user_id, chunk""",
     "fingerprint": """
         SELECT CAST(coalesce(sum(CAST('0x' || substr(md5(row), 1, 15) AS BIGINT)), 0) AS VARCHAR) AS hash_sum,
                count(*) AS n_rows

@@ -242,8 +242,8 @@ def _fixed_sequence(i: Inputs) -> DataFrame:
 
 
 def _sentences(i: Inputs) -> DataFrame:
-    """Training sentences as text; none of these histories is long enough to be cut."""
-    return sequence.sentences(i.like, i.hot_users).select(F.array_join("items", " ").alias("sentence"))
+    """The chunks of the histories as text."""
+    return sequence.sentences(i.like, i.hot_users).select("user_id", "chunk", F.array_join("items", " ").alias("sentence"))
 
 
 RELATIONAL: dict[str, Callable[[Inputs], DataFrame]] = {

@@ -245,3 +245,15 @@ def test_mean_ensemble_divides_by_count(spark):
 def test_conform_rejects_missing_columns(spark):
     with pytest.raises(ValueError):
         conform(spark.createDataFrame([(1,)], "user_id long"), USERS)
+
+
+def test_pseudo_items_never_meet_items(spark):
+    schema = "user_id long, item_id long, datetime long, weight double"
+    items = spark.createDataFrame([(5, 1), (weights.SOURCE_OFFSET + 1, 1)], "item_id long, source_id long")
+    small = spark.createDataFrame([(1, 5, 1, 1.0)], schema)
+    got = sorted(r.item_id for r in weights.with_pseudo_items(small, items).collect())
+    assert got == [5, weights.SOURCE_OFFSET + 1]
+    large = spark.createDataFrame([(1, weights.SOURCE_OFFSET + 1, 1, 1.0)], schema)
+    with pytest.raises(Exception, match="reaches the pseudo-items"):
+        weights.with_pseudo_items(large, items).collect()
+    assert weights.with_typed_pseudo_items(large, items).count() == 2
