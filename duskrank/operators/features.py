@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from duskrank.functions.exprs import gender_likelihood
 from duskrank.operators.stats import ODD_DECILES
+from duskrank.schemas import fixed_length
 
 # fixed values: the statistics columns that the user's own age and gender are compared with
 AGE_COLUMNS = ("mean_age", *[f"age_q{p}" for p in ODD_DECILES], "mean_age_positive", "mean_age_negative")
@@ -127,6 +128,12 @@ class FeatureAssembler:
         value = F.col(name).cast("double")
         return F.when(~F.isnan(value), value)
 
+    @property
+    def names(self) -> list[str]:
+        """The vector's elements by name (of a fitted assembler of degree 1)."""
+        block = [f"{self.vector}_{k}" for k in range(self.width)] if self.vector is not None else []
+        return [*self.columns, *[f"{c}_missing" for c in self.flagged], *block]
+
     def fit(self, df: DataFrame) -> "FeatureAssembler":
         row = df.agg(
             *[F.min(self._value(c)).alias(f"m{i}") for i, c in enumerate(self.columns)],
@@ -146,7 +153,8 @@ class FeatureAssembler:
         array = F.array(*values)
         if self.vector is not None:
             zeros = F.array_repeat(F.lit(0.0), self.width)
-            array = F.concat(array, F.coalesce(F.col(self.vector).cast("array<double>"), zeros))
+            vector = fixed_length(F.col(self.vector).cast("array<double>"), self.width, self.vector)
+            array = F.concat(array, F.coalesce(vector, zeros))
         if self.degree == 1:
             return df.withColumn(output, array_to_vector(array))
         plain = df.withColumn("_plain", array_to_vector(array))

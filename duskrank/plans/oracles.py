@@ -220,7 +220,8 @@ _DIFFS = [
 ]
 
 
-def _feature_table() -> str:
+def _feature_table(search: bool = False) -> str:
+    """``search``: the smaller table, without user-by-source statistics, likelihoods and mode flags."""
     shared = ["n_users", "sum_positive", "like_dislike_ratio"]
     for s in SIGNALS:
         shared += [f"mean_{s}", f"sum_{s}"]
@@ -236,6 +237,16 @@ def _feature_table() -> str:
     def likelihood(m: str) -> str:
         return f"CASE WHEN gender = 2 THEN {m} - 1 WHEN gender = 1 THEN 2 - {m} END"
 
+    if search:
+        joined = f"""
+        FROM (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY pos DESC) AS k FROM test) WHERE k = 1)
+        LEFT JOIN item_stats USING (item_id)
+        LEFT JOIN (SELECT item_id, source_id FROM items) USING (item_id)
+        LEFT JOIN (SELECT source_id, {renamed}, {others} FROM combined) USING (source_id)
+        LEFT JOIN user_stats USING (user_id)
+        LEFT JOIN sims USING (user_id, item_id)
+        LEFT JOIN users USING (user_id)"""
+        return f"SELECT *, {diffs}, user_like_perc * mean_like AS user2item_like_perc {joined}"
     return f"""
         SELECT * EXCLUDE (source_id, user_source_id_mode, user_liked_source_id_mode), {diffs},
                user_like_perc * mean_like AS user2item_like_perc,
@@ -255,6 +266,11 @@ def _feature_table() -> str:
 
 
 _CTES["feature_table"] = _feature_table()
+_CTES["search_table"] = _feature_table(search=True)
+_CTES["raw_features"] = """
+    SELECT COLUMNS(* EXCLUDE (user_id, item_id, "like", dislike, share, bookmarks, timespent, rn, pos))::DOUBLE FROM feature_table"""
+_CTES["long_features"] = "SELECT feature, v FROM raw_features UNPIVOT INCLUDE NULLS (v FOR feature IN (COLUMNS(*)))"
+_CTES["feature_lows"] = "SELECT feature, min(v) AS low, count(*) AS n_all, count(v) AS n_known FROM long_features GROUP BY feature"
 
 
 def _auc(table: str, score: str) -> str:
@@ -453,7 +469,20 @@ _SELECTS: dict[str, str] = {
         UNION ALL SELECT user_id, item_id, pos, 'test' FROM test""",
     "pair_files": "SELECT user_id, item_id FROM test_pairs",
     "submission_files": "SELECT user_id, item_id, round(timespent, 6) AS predict FROM test",
-    "feature_files": "SELECT user_id, item_id, user_id || '-' || item_id AS pair FROM test_pairs",
+    "feature_pool": """
+        SELECT feature, count(*) AS n_rows, round(min(v) + 3e-10, 6) AS low, round(max(v) + 3e-10, 6) AS high,
+               round(avg(v) + 3e-10, 6) AS mean
+        FROM (
+            SELECT l.feature, coalesce(l.v, m.low - 1, -1) AS v FROM long_features l JOIN feature_lows m ON m.feature = l.feature
+            UNION ALL
+            SELECT l.feature || '_missing', CAST(l.v IS NULL AS DOUBLE)
+            FROM long_features l JOIN feature_lows m ON m.feature = l.feature WHERE m.n_known < m.n_all
+            UNION ALL
+            SELECT 'embeddings_' || g.dim, coalesce(CAST(i.embeddings[g.dim + 1] AS DOUBLE), 0)
+            FROM test_pairs p LEFT JOIN items i ON i.item_id = p.item_id, (SELECT unnest(range(64)) AS dim) g)
+        GROUP BY feature""",
+    "item_vectors": """
+        SELECT item_id, len(embeddings) AS n, round(list_sum(CAST(embeddings AS DOUBLE[])) + 3e-10, 6) AS total FROM items""",
     "table_files": """
         SELECT 'interactions' AS name, count(*) AS n_rows, CAST(sum(pos) AS BIGINT) AS total FROM interactions
         UNION ALL SELECT 'items', count(*), CAST(sum(source_id) AS BIGINT) FROM items
@@ -484,6 +513,8 @@ _WIDE = {
     "user2source_stats": "user_source",
     "user_stats": "user_stats",
     "feature_table": "feature_table",
+    "feature_files": "feature_table",
+    "search_feature_table": "search_table",
 }
 _NOT_DOUBLE = (
     "user_id|item_id|source_id|pos|like|dislike|share|bookmarks|rn|n_users(_source)?|n_items"
@@ -525,7 +556,7 @@ def _with(select: str) -> str:
 
 def _wide(table: str) -> str:
     modes = ""
-    if table == "user_stats":
+    if table in ("user_stats", "search_table"):
         modes = (
             ", array_to_string(user_source_id_mode, ',') AS user_source_id_mode"
             ", array_to_string(user_liked_source_id_mode, ',') AS user_liked_source_id_mode"

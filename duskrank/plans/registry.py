@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import cached_property, reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,9 @@ from duskrank.sources import fixtures, io, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# length of the test tables' vectors
+VECTOR_SIZE = 64
+
 
 class Inputs:
     """Logical tables and the parts of the split, built from one folder of Parquet files.
@@ -477,8 +481,41 @@ def _submission_files(i: Inputs) -> DataFrame:
 
 
 def _feature_files(i: Inputs) -> DataFrame:
-    path = io.write_features(i.test_pairs.withColumn("pair", F.concat_ws("-", "user_id", "item_id")), _folder(i), "pairs")
-    return i.spark.read.parquet(path)
+    """The holdout's feature table, written and read back."""
+    return i.spark.read.parquet(io.write_features(i.feature_table(split.latest_pairs(i.test)), _folder(i), "test"))
+
+
+def _search_features(i: Inputs) -> DataFrame:
+    """The smaller feature table of the parameter search; mode lists as text."""
+    pairs = split.latest_pairs(i.test)
+    tables = {name: df for name, df in i.statistics().items() if name != "user_source_stats"}
+    return _modes_as_text(
+        features.join_features(pairs, None, items=i.items, sims=i.sims(pairs), users=i.users, likelihoods=False, **tables)
+    )
+
+
+def _feature_pool(i: Inputs) -> DataFrame:
+    """What rankers are fitted on: the assembled vector of selected columns, indicators and raw item vectors.
+
+    One row per element: how many rows, least and largest value, sum.
+    """
+    table = features.with_item_vectors(i.feature_table(split.latest_pairs(i.test)), i.items)
+    table = cut(table, "pool")
+    columns = features.feature_columns(table.drop(*features.RAW_COLUMNS))
+    assembler = features.FeatureAssembler(columns, "embeddings", VECTOR_SIZE).fit(table)
+    long = assembler.transform(table).select(F.posexplode(vector_to_array("features")).alias("_k", "v"))
+    name = F.element_at(F.array(*map(F.lit, assembler.names)), F.col("_k") + 1)
+    sums = long.groupBy("_k").agg(F.count(F.lit(1)).alias("n_rows"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"))
+    return sums.select(name.alias("feature"), "n_rows", "low", "high", "mean")
+
+
+def _item_vectors(i: Inputs) -> DataFrame:
+    """Items read back with the length of their vectors checked."""
+    path = f"{_folder(i)}/items"
+    i.items.write.parquet(path)
+    items = io.read_items(i.spark, path, VECTOR_SIZE)
+    total = F.aggregate("embeddings", F.lit(0.0), lambda s, x: s + x)
+    return items.select("item_id", F.size("embeddings").alias("n"), total.alias("total"))
 
 
 def _table_files(i: Inputs) -> DataFrame:
@@ -560,6 +597,9 @@ MODELS: dict[str, Callable[[Inputs], DataFrame]] = {
     "pair_files": _pair_files,
     "submission_files": _submission_files,
     "feature_files": _feature_files,
+    "search_feature_table": _search_features,
+    "feature_pool": _feature_pool,
+    "item_vectors": _item_vectors,
     "table_files": _table_files,
     "output_cache": _cached,
     "model_cache": _stored_model,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,12 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def fixed_length(column: Column, length: int, name: str = "array") -> Column:
+    """The array itself if it is null or has ``length`` elements; any other length is an error of the job."""
+    told = F.concat(F.lit(f"{name} must have {length} elements, not "), F.size(column).cast("string"))
+    return F.when(column.isNotNull() & (F.size(column) != length), F.raise_error(told)).otherwise(column)
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskrank.operators.split import FACTOR, RANKER, TEST, append_holdout, part_of
-from duskrank.schemas import INTERACTIONS, ITEMS, PAIRS, USERS, conform
+from duskrank.schemas import INTERACTIONS, ITEMS, PAIRS, USERS, conform, fixed_length
 
 
 def read_interactions(spark: SparkSession, path: str) -> DataFrame:
     return conform(spark.read.parquet(path), INTERACTIONS)
 
 
-def read_items(spark: SparkSession, path: str) -> DataFrame:
-    return conform(spark.read.parquet(path), ITEMS)
+def read_items(spark: SparkSession, path: str, vector_size: int | None = None) -> DataFrame:
+    """With ``vector_size``, a vector of another length stops the job that reads it."""
+    items = conform(spark.read.parquet(path), ITEMS)
+    if vector_size is None:
+        return items
+    return items.withColumn("embeddings", fixed_length(F.col("embeddings"), vector_size, "embeddings"))
 
 
 def read_users(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duskrank.functions import exprs
+from duskrank.sources import io
 from duskrank.operators import features, scoring, split, stats, vectors, weights
 from duskrank.schemas import INTERACTIONS, ITEMS, USERS, conform
 
@@ -257,3 +258,17 @@ def test_pseudo_items_never_meet_items(spark):
     with pytest.raises(Exception, match="reaches the pseudo-items"):
         weights.with_pseudo_items(large, items).collect()
     assert weights.with_typed_pseudo_items(large, items).count() == 2
+
+
+def test_vectors_of_another_length_stop_the_job(spark, tmp_path):
+    rows = [(1, 1, 1.0, [1.0, 2.0]), (2, 1, 1.0, None)]
+    schema = "item_id long, source_id long, duration double, embeddings array<float>"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/good")
+    spark.createDataFrame([*rows, (3, 1, 1.0, [1.0])], schema).write.parquet(f"{tmp_path}/bad")
+    assert io.read_items(spark, f"{tmp_path}/good", 2).filter("embeddings IS NULL").count() == 1
+    assert len(io.read_items(spark, f"{tmp_path}/bad").collect()) == 3
+    with pytest.raises(Exception, match="must have 2 elements, not 1"):
+        io.read_items(spark, f"{tmp_path}/bad", 2).collect()
+    with pytest.raises(Exception, match="must have 3 elements"):
+        table = spark.createDataFrame([(0.5, [1.0, 2.0])], "a double, e array<float>")
+        features.FeatureAssembler(["a"], "e", 3).fit(table).transform(table).collect()
