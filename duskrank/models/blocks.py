@@ -1,8 +1,7 @@
-"""Shared layouts of the matrix models: user buckets or balanced cells against item blocks.
+"""Shared layout of the matrix models: cells of a bounded number of entries.
 
-The weighted set is a sparse matrix with one entry per (user, item). Users and items are numbered densely
-and items are cut into blocks of fixed size. The linear model and the decomposition hash users into buckets; the
-sampled models cut a block's entries into cells of bounded size, however active a user is.
+The weighted set is a sparse matrix with one entry per (user, item). Users and items are numbered densely, items
+are cut into blocks of fixed size, and a block's entries into cells of bounded size, however active a user is.
 """
 
 from __future__ import annotations
@@ -14,44 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskrank.models.als import indexed
 from duskrank.session import cut
 
-# User buckets of a fit. A bucket against an item block is one task's pandas input, so a large set needs a
-# larger value (some millions of entries per bucket); it is a fit parameter because copies of an item block are
-# merged once per bucket, and it follows neither the data nor the session's settings.
-BUCKETS = 8
-
-
-@dataclass(frozen=True)
-class Blocks:
-    entries: DataFrame  # p (user bucket), q (item block), u, i, weight
-    users: DataFrame  # user_id, u
-    items: DataFrame  # item_id, i
-    n_users: int
-    n_items: int
-    buckets: int
-    block: int
-
-    @property
-    def n_blocks(self) -> int:
-        return max(1, -(-self.n_items // self.block))
-
-
-def layout(train: DataFrame, block: int, buckets: int = BUCKETS) -> Blocks:
-    """Number ids, cut into buckets and blocks, and write the entries once for all passes."""
-    entries, users, items, _ = indexed(train)
-    n_users, n_items = users.count(), items.count()
-    placed = entries.select(
-        F.pmod(F.xxhash64("u"), F.lit(buckets)).cast("int").alias("p"),
-        F.floor(F.col("i") / block).cast("int").alias("q"),
-        "u",
-        "i",
-        "weight",
-    )
-    return Blocks(cut(placed, "entries"), users, items, n_users, n_items, buckets, block)
-
-
 # entries of one training cell: a cell is one task's input
 ROWS_PER_CELL = 1 << 22
 _SLICES = 1024

@@ -1,12 +1,14 @@
 """Truncated SVD of the user-item matrix by randomised block Krylov iteration (Musco and Musco, 2015).
 
-Every pass multiplies the sparse matrix with a thin one: tasks hold one user bucket against one item
-block and exchange only thin vectors. The driver sees nothing larger than the square of the basis width,
+Every pass multiplies the sparse matrix with a thin one: tasks hold a cell of a bounded number of entries and
+exchange only thin vectors, each of which goes to the cells that have entries for it. The driver sees nothing larger than the square of the basis width,
 (rank + oversample) * (passes + 1), whatever the number of users and items.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,7 +16,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskrank.models.blocks import BUCKETS, Blocks, layout, restore_ids, stack
+from duskrank.models.als import indexed
+from duskrank.models.blocks import ROWS_PER_CELL, Cells, balanced_cells, restore_ids, stack
 from duskrank.session import cut
 
 
@@ -36,20 +39,30 @@ def _partial_products(entries: pd.DataFrame, thin: pd.DataFrame, out: str, by: s
     return pd.DataFrame({out: targets.astype("int32"), "features": list(total)})
 
 
-def _multiply(blocks: Blocks, thin: DataFrame, by: str) -> DataFrame:
+@dataclass(frozen=True)
+class Grid:
+    """The matrix in cells, and which users and items each cell has entries for (written once)."""
+
+    cells: Cells
+    users: DataFrame  # q, c, u
+    items: DataFrame  # q, c, i
+
+    def sent(self, thin: DataFrame, by: str) -> DataFrame:
+        """The vectors of ``thin`` with the cells they go to: one copy per (vector, cell) with an entry."""
+        return (self.items if by == "i" else self.users).join(thin, by)
+
+
+def grid(entries: DataFrame, block: int, rows_per_cell: int) -> Grid:
+    cells = balanced_cells(entries, block, rows_per_cell)
+    return Grid(cells, cut(cells.members, "svd_users_of"), cut(cells.entries.select("q", "c", "i").distinct(), "svd_items_of"))
+
+
+def _multiply(matrix: Grid, thin: DataFrame, by: str) -> DataFrame:
     """Sparse matrix times ``thin`` (keyed by item for ``by='i'``), or its transpose (``by='u'``)."""
     out = "u" if by == "i" else "i"
-    if by == "i":
-        keyed = thin.withColumn("q", F.floor(F.col("i") / blocks.block).cast("int")).withColumn(
-            "p", F.explode(F.sequence(F.lit(0), F.lit(blocks.buckets - 1)))
-        )
-    else:
-        keyed = thin.withColumn("p", F.pmod(F.xxhash64("u"), F.lit(blocks.buckets)).cast("int")).withColumn(
-            "q", F.explode(F.sequence(F.lit(0), F.lit(blocks.n_blocks - 1)))
-        )
     partial = (
-        blocks.entries.groupBy("p", "q")
-        .cogroup(keyed.groupBy("p", "q"))
+        matrix.cells.entries.groupBy("q", "c")
+        .cogroup(matrix.sent(thin, by).groupBy("q", "c"))
         .applyInPandas(lambda e, t: _partial_products(e, t, out, by), f"{out} int, features array<double>")
     )
     return partial.groupBy(out).agg(
@@ -104,14 +117,15 @@ def fit_svd(
     passes: int = 3,
     seed: int = 42,
     block: int = 65536,
-    buckets: int = BUCKETS,
+    rows_per_cell: int = ROWS_PER_CELL,
 ) -> dict[str, DataFrame]:
     """Factor tables with user = U and item = V * sigma, so that their dot is the rank-k value.
 
     More ``passes`` sharpen a slowly falling spectrum; the basis grows by one block with each.
     """
-    blocks = layout(train, block, buckets)
-    width = min(n_factors + oversample, blocks.n_items, blocks.n_users)
+    entries, users_of, items_of, _ = indexed(train)
+    matrix = grid(entries, block, rows_per_cell)
+    width = min(n_factors + oversample, items_of.count(), users_of.count())
     rank = min(n_factors, width)
     def uniform(k: Column) -> Column:
         return (F.pmod(F.xxhash64(F.col("i"), F.lit(seed), k), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
@@ -121,25 +135,25 @@ def fit_svd(
         F.sequence(F.lit(0), F.lit(width - 1)),
         lambda k: F.sqrt(-2 * F.log(uniform(2 * k))) * F.cos(2 * np.pi * uniform(2 * k + 1)),
     )
-    start = blocks.items.select("i", normals.alias("features"))
+    start = items_of.select("i", normals.alias("features"))
     newest = cut(_orthonormal(cut(start, "svd_start"), "i", width), "svd_items")
     basis, columns = newest, width
     for _ in range(passes):
-        users = _multiply(blocks, newest, "i")
-        products = cut(_multiply(blocks, cut(users, "svd_users"), "u"), "svd_items")
+        users = _multiply(matrix, newest, "i")
+        products = cut(_multiply(matrix, cut(users, "svd_users"), "u"), "svd_items")
         newest = cut(_orthonormal(products, "i", width), "svd_items")
         basis = basis.join(newest.withColumnRenamed("features", "_new"), "i").select(
             "i", F.concat("features", "_new").alias("features")
         )
         columns += width
     basis = cut(_orthonormal(cut(basis, "svd_basis"), "i", columns), "svd_basis")
-    image = cut(_multiply(blocks, basis, "i"), "svd_users")
+    image = cut(_multiply(matrix, basis, "i"), "svd_users")
     # image = X Q; the eigenvectors of its Gram matrix rotate Q onto the right singular vectors
     values, rotation = np.linalg.eigh(_gram(image, columns))
     top = np.argsort(values)[::-1][:rank]
     sigma = np.sqrt(np.maximum(values[top], 0.0))
     inverse = np.divide(1.0, sigma, out=np.zeros_like(sigma), where=sigma > 1e-9 * max(sigma.max(), 1e-300))
     return {
-        "users": restore_ids(_apply(image, "u", rotation[:, top] * inverse), blocks.users, "user_id", "u"),
-        "items": restore_ids(_apply(basis, "i", rotation[:, top] * sigma), blocks.items, "item_id", "i"),
+        "users": restore_ids(_apply(image, "u", rotation[:, top] * inverse), users_of, "user_id", "u"),
+        "items": restore_ids(_apply(basis, "i", rotation[:, top] * sigma), items_of, "item_id", "i"),
     }

@@ -49,8 +49,7 @@ class FleetParams:
     sequence_epochs: int = 30
     sequence_min_count: int = 5
     svd_factors: int = 128
-    # user buckets and factor blocks of the ALS and SVD fits, entries per cell of the sampled ones: part of the fit, not of
-    # the session
+    # factor blocks of the ALS fits, entries per cell of the others: part of the fit, not of the session
     blocks: int = 64
     cell_rows: int = ROWS_PER_CELL
     seed: int = 42
@@ -160,7 +159,7 @@ def fit_model(
         "als": dict(iterations=p.als_iterations, alpha=p.als_alpha, regularization=p.als_regularization, n_factors=p.als_factors, seed=p.seed, blocks=p.blocks),
         "pairwise": dict(n_factors=p.pairwise_factors, epochs=p.pairwise_epochs, loss=spec.loss, seed=p.seed, rows_per_cell=p.cell_rows),
         "ease": dict(regularization=p.ease_regularization),
-        "svd": dict(n_factors=p.svd_factors, seed=p.seed, buckets=p.blocks),
+        "svd": dict(n_factors=p.svd_factors, seed=p.seed, rows_per_cell=p.cell_rows),
         "sequence": dict(n_factors=p.sequence_factors, epochs=p.sequence_epochs, min_count=p.sequence_min_count, seed=p.seed, rows_per_cell=p.cell_rows),
     }[spec.kind]
     given = {}

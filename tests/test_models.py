@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from duskrank.models import als, ease, pairwise, sequence, svd
-from duskrank.models.blocks import layout
 from duskrank.operators import metrics, scoring
 from duskrank.models.blocks import balanced_cells
 from duskrank.operators import features
@@ -98,12 +97,12 @@ def test_gram_keeps_the_most_frequent_items(spark):
     assert {(r.item_j, r.item_i): r.g for r in table.collect()} == {(1, 1): 2.0, (1, 3): 1.0, (3, 1): 1.0, (3, 3): 1.0}
 
 
-@pytest.mark.parametrize("block,buckets", [(100, 3), (6, 4)])
-def test_svd_matches_dense(spark, sparse, block, buckets):
+@pytest.mark.parametrize("block,rows_per_cell", [(100, 150), (6, 20)])
+def test_svd_matches_dense(spark, sparse, block, rows_per_cell):
     x, users, items = dense(sparse)
     u, s, vt = np.linalg.svd(x, full_matrices=False)
     want = (u[:, :4] * s[:4]) @ vt[:4]
-    model = svd.fit_svd(sparse, 4, oversample=6, passes=2, block=block, buckets=buckets)
+    model = svd.fit_svd(sparse, 4, oversample=6, passes=2, block=block, rows_per_cell=rows_per_cell)
     pairs = sparse.select("user_id", "item_id").distinct()
     got = scoring.score_pairs(pairs, model["users"], model["items"]).toPandas()
     assert not got.is_cold.any()
@@ -111,12 +110,18 @@ def test_svd_matches_dense(spark, sparse, block, buckets):
     np.testing.assert_allclose(got.predict, expected, atol=1e-6)
 
 
-def test_layout_covers_the_matrix(spark, sparse):
-    blocks = layout(sparse, 6, 4)
-    assert (blocks.n_users, blocks.n_items, blocks.n_blocks) == (41, 23, 4)
-    cells = blocks.entries.toPandas()
+def test_vectors_go_to_the_cells_that_need_them(spark, sparse):
+    entries, users, items, _ = als.indexed(sparse)
+    matrix = svd.grid(entries, 6, 20)
+    cells = matrix.cells.entries.toPandas()
     assert len(cells) == sparse.select("user_id", "item_id").distinct().count()
-    assert cells.groupby("u").p.nunique().max() == 1 and (cells.i // 6 == cells.q).all()
+    assert cells.groupby(["q", "c"]).size().max() <= 20 and (cells.i // 6 == cells.q).all()
+    for index, by in ((users, "u"), (items, "i")):
+        thin = index.select(by, F.array(F.lit(1.0)).alias("features"))
+        sent = matrix.sent(thin, by).toPandas()
+        want = cells[["q", "c", by]].drop_duplicates()
+        assert len(sent) == len(want) < len(index.collect()) * cells[["q", "c"]].drop_duplicates().shape[0]
+        assert set(sent[["q", "c", by]].itertuples(index=False, name=None)) == set(want.itertuples(index=False, name=None))
 
 
 @pytest.fixture(scope="module")
