@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for everything else that looks like a key.
 
 Base spans come from three patterns. The method adds spans of kind ``random``: maximal runs of key
-characters with a letter and a digit, whose encoding (decimal, hex, base32, base36, base64) is inferred from
-the characters and which carry at least ``MIN_BITS`` if uniform. Three tests ask whether such a run could
+characters with a letter and a digit, whose encoding (hex, base32, base36, base64) is inferred from the
+characters. A run that mixes the signs of both base64 alphabets fits no encoding: it is cut at its slashes (so a
+token behind a path is tested by itself), and what still mixes them at every sign. Tested is what carries at least ``MIN_BITS`` if uniform. Three tests ask whether such a run could
 be a uniform draw from its alphabet: chi-squared of the character counts, number of runs above and below
 the alphabet's middle, and lag-one serial correlation. Their p-values are combined by Fisher's method.
 
@@ -31,6 +32,8 @@ HEX = r"[0-9a-f]+"
 LONG_HEX = r"[0-9a-f]{32,}"
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])"
+# Pieces of a run that mixes + or / with - or _, and of a piece that mixes + with - or _.
+SEGMENT, PLAIN = "[A-Za-z0-9+_-]{20,}", "[A-Za-z0-9]{20,}"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Encodings from the narrowest: (characters allowed, alphabet in order).
 ENCODINGS = (
@@ -96,6 +99,27 @@ def _spans(text: Column, pattern: str, kind: str, order: int, valid=None) -> Col
     return F.transform(spans, lambda s: s.dropFields("value"))
 
 
+def _unmixed(run: Column) -> Column:
+    """The run itself, or the pieces of a run that fits no encoding, as spans of the text."""
+
+    def mixed(span: Column) -> Column:
+        return span["text"].rlike("[+/]") & span["text"].rlike("[_-]")
+
+    def pieces(span: Column, pattern: str) -> Column:
+        return F.transform(
+            _spans(span["text"], pattern, "random", 3),
+            lambda s: F.struct(
+                (s["start"] + span["start"]).alias("start"), s["rank"].alias("rank"), (s["stop"] + span["start"]).alias("stop"),
+                s["kind"].alias("kind"), s["text"].alias("text"),
+            ),
+        )
+
+    def plain(span: Column) -> Column:
+        return F.when(mixed(span), pieces(span, PLAIN)).otherwise(F.array(span))
+
+    return F.when(mixed(run), F.flatten(F.transform(pieces(run, SEGMENT), plain))).otherwise(F.array(run))
+
+
 def _upper_normal(z: Column) -> Column:
     """P(Z > z) of a standard normal, by a polynomial times a Gaussian (absolute error below 1e-7)."""
     x = F.abs(z) / F.lit(2.0**0.5)
@@ -207,7 +231,7 @@ def scan(docs: DataFrame) -> DataFrame:
     base = F.concat("assign", "access", "hex")
     found = found.withColumn("base", F.array_sort(base))
     apart = F.filter(
-        "more",
+        F.flatten(F.transform("more", _unmixed)),
         lambda m: (
             m["text"].rlike("[0-9]")
             & m["text"].rlike("[A-Za-z]")

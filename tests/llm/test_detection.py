@@ -57,6 +57,18 @@ def test_random_strings_are_told_from_structured_ones(spark, make_docs):
     assert one[k] == f"random:4:{4 + len(keys[k])}"
 
 
+def test_tokens_behind_paths_are_tested_by_themselves(make_docs):
+    rng = random.Random(21)
+    tokens = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40)) for _ in range(300)]
+    rows = [(k, f"see http://x.org/my-app/hook_v2/{t} or /a-b/c", "a") for k, t in enumerate(tokens)]
+    mixed = "Q7x+" + tokens[0][:25] + "-" + tokens[1][:30]
+    rows += [(1000, f"my-app/hook_v2/{mixed}", "a"), (1001, "my-app/hook_v2/some/short-path_of_words", "a")]
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(make_docs(rows)).collect()}
+    start = len("see http://x.org/my-app/hook_v2/")
+    assert sum(got[k] == f"random:{start}:{start + 40}" for k in range(300)) >= 270
+    assert {s for s in got[1000].split(",") if s} <= {"random:19:44", "random:45:75"} and got[1000] and not got[1001]
+
+
 def test_p_values_are_uniform_for_random_strings(spark):
     rng = random.Random(13)
     alphabet = dict(secrets.ENCODINGS)["^[A-Za-z0-9+/]+$"]
