@@ -331,6 +331,7 @@ _SMALL = fleet.FleetParams(
     sequence_epochs=2,
     svd_factors=8,
     blocks=4,
+    cell_rows=1 << 14,
 )
 
 
