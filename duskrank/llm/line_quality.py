@@ -2,11 +2,14 @@
 
 A line is what ``\\n`` separates; it is compared by its words joined by one space with A-Z lower-cased.
 Per host, the distinct documents (equal texts count once) that hold a line are counted. Lines in more
-than ``limit(host) = max(MIN_DOCS, SHARE * documents of the host)`` documents are frequent. Copies of one
-document would make all of its lines frequent, although copies are a matter of deduplication: so a
-frequent line is boilerplate, and removed, only if more than the limit's number of documents hold it that
-are otherwise their own (at least ``OWN`` of their words in infrequent lines). A document is depleted,
-and rejected, if removal leaves less than ``1 - OWN`` of its words.
+than ``limit(host) = max(MIN_DOCS, SHARE * documents of the host)`` documents are frequent. Near copies of
+one document would make all of its lines frequent, although copies are a matter of deduplication: so a
+frequent line is boilerplate, and removed, if more than the limit's number of documents hold it that are
+no copies of one another, whatever part of them it fills. Those are told by what else a document holds:
+its own lines are neither frequent nor edited forms of a frequent line of the host (lines that begin or
+end with the same ``END_WORDS`` words). A document counts if more than 1 / ``OWN_PARTS`` of its words are
+in own lines (texts that share more are 0.8 similar or more), and documents with the same own lines count
+once. A document is depleted, and rejected, if removal leaves less than ``1 - DEPLETED`` of its words.
 
 Null texts count as empty: no words, hence ``base_failed``. Null is a host of its own. Repeated rows each
 get a row. Other columns are kept by ``apply`` and not read otherwise.
@@ -27,7 +30,9 @@ from duskrank.session import cut
 
 MIN_DOCS = 10
 SHARE = 0.01
-OWN = 0.7
+DEPLETED = 0.7
+OWN_PARTS = 9  # two texts that share 8/9 of their words have a Jaccard index of 8/10
+END_WORDS = 5
 
 # Fixed by the result contract.
 SYMBOLS = "#*$%&|<>"
@@ -39,7 +44,7 @@ MAX_REPEATED_PERCENT = 30
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SCHEMA = (
     "_row long, doc_id long, source string, _text long, n_words long, word_chars long, n_symbols long, "
-    "n_dup_lines long, n_repeat_words long, lines array<struct<line: long, words: long>>"
+    "n_dup_lines long, n_repeat_words long, lines array<struct<line: long, words: long, head: long, tail: long>>"
 )
 
 
@@ -89,20 +94,21 @@ def text_counts(text: str) -> tuple[int, int, int, int, int, list[dict[str, int]
         if parts:
             duplicates += line in seen
             seen.add(line)
-            key = line_hash(b" ".join(parts).lower())
-            lines[key] = lines.get(key, 0) + len(parts)
+            key, *ends = (line_hash(b" ".join(x).lower()) for x in (parts, parts[:END_WORDS], parts[-END_WORDS:]))
+            n = lines[key][0] if key in lines else 0
+            lines[key] = (n + len(parts), *ends)
     return (
         len(words),
         len(text) - sum(map(text.count, SPACES)),
         sum(map(text.count, SYMBOLS)),
         duplicates,
         repeated_window_words(words),
-        [{"line": k, "words": n} for k, n in lines.items()],
+        [{"line": k, "words": n, "head": head, "tail": tail} for k, (n, head, tail) in lines.items()],
     )
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lines_type = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))
+    lines_type = pa.list_(pa.struct([(name, pa.int64()) for name in ("line", "words", "head", "tail")]))
     for batch in slices(batches, "text"):
         rows = list(zip(*(text_counts(t or "") for t in batch.column("text").to_pylist()), strict=True))
         columns = [batch.column(c) for c in ("_row", "doc_id", "source", "_text")]
@@ -127,7 +133,7 @@ def counts(docs: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(_counted, _SCHEMA), "line_counts")
 
 
-def boilerplate(counted: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, own: float = OWN) -> DataFrame:
+def boilerplate(counted: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """(_row, n_words, line, words) of the boilerplate lines in one row of each distinct text per host."""
     first = counted.groupBy("source", "_text").agg(F.min("_row").alias("_row")).select("_row")
     texts = counted.join(first, "_row", "left_semi").select("_row", "source", "n_words", "lines")
@@ -141,21 +147,29 @@ def boilerplate(counted: DataFrame, min_docs: int = MIN_DOCS, share: float = SHA
         many = n.join(limits, F.col("_h").eqNullSafe(F.col("_host"))).filter("_n > _limit")
         return many.select("_h", "_line")
 
-    def among(lines: DataFrame, chosen: DataFrame) -> DataFrame:
-        on = F.col("source").eqNullSafe(F.col("_h")) & (F.col("line") == F.col("_line"))
-        return lines.join(chosen, on).drop("_h", "_line")
+    def among(lines: DataFrame, chosen: DataFrame, name: str = "line", how: str = "left_semi") -> DataFrame:
+        return lines.join(chosen, F.col("source").eqNullSafe(F.col("_h")) & (F.col(name) == F.col("_line")), how)
 
     frequent = cut(among(held, over_limit(held)), "frequent_lines")
-    shared = frequent.groupBy("_row").agg(F.sum("words").alias("_shared"), F.first("n_words").alias("_n_words"))
-    unique = shared.filter(F.col("_shared") <= (1 - own) * F.col("_n_words")).select("_row")
-    return among(frequent, over_limit(frequent.join(unique, "_row", "left_semi")))
+    own = held.join(frequent.select("_row").distinct(), "_row", "left_semi")
+    known = frequent.select(F.col("source").alias("_h"), F.col("line").alias("_line"))
+    own = among(own, known.distinct(), how="left_anti")
+    for end in ("head", "tail"):
+        ends = frequent.select(F.col("source").alias("_h"), F.col(end).alias("_line"))
+        own = among(own, ends.distinct(), end, "left_anti")
+    rest = own.groupBy("_row").agg(
+        F.sum("words").alias("_own"), F.first("n_words").alias("_n_words"), F.sort_array(F.collect_list("line")).alias("_lines")
+    )
+    rest = rest.filter(OWN_PARTS * F.col("_own") > F.col("_n_words")).select("_row", F.md5(F.to_json("_lines")).alias("_rest"))
+    distinct = frequent.join(rest, "_row").select("source", "line", "_rest").distinct()
+    return among(frequent, over_limit(distinct))
 
 
-def verdicts(counted: DataFrame, own: float = OWN, **limits) -> DataFrame:
+def verdicts(counted: DataFrame, **limits) -> DataFrame:
     """(_host, _key, removed, depleted): one row per host and text that holds boilerplate."""
-    removed = boilerplate(counted, own=own, **limits).groupBy("_row").agg(
+    removed = boilerplate(counted, **limits).groupBy("_row").agg(
         F.collect_list("line").alias("removed"),
-        (F.sum("words") > own * F.first("n_words")).alias("depleted"),
+        (F.sum("words") > DEPLETED * F.first("n_words")).alias("depleted"),
     )
     names = counted.select("_row", F.col("source").alias("_host"), F.col("_text").alias("_key"))
     return names.join(removed, "_row").drop("_row")
@@ -209,26 +223,37 @@ win AS (
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS c FROM win) WHERE c >= 2),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM again) GROUP BY r),
 l AS (
-  SELECT r, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
-         translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '),
-                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
-  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
-  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+  SELECT r, line, len(ws) AS words, array_to_string(ws, ' ') AS norm,
+         array_to_string(ws[1:5], ' ') AS head, array_to_string(ws[greatest(1, len(ws) - 4) : len(ws)], ' ') AS tail
+  FROM (
+    SELECT r, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x20\x09-\x0D]+') AS ws
+    FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d))
+  WHERE len(ws) > 0),
 dup AS (SELECT r, sum(c - 1) AS n FROM (SELECT r, line, count(*) AS c FROM l GROUP BY r, line) GROUP BY r),
 texts AS (SELECT min(r) AS r, source, text, any_value(len(ws)) AS n_words FROM d GROUP BY source, text),
 limits AS (SELECT source, greatest(10.0, 0.01 * count(*)) AS lim FROM texts GROUP BY source),
 held AS (
-  SELECT t.r, t.source, t.n_words, l.norm, sum(l.words) AS words
-  FROM texts t JOIN l ON l.r = t.r GROUP BY t.r, t.source, t.n_words, l.norm),
+  SELECT t.r, t.source, t.n_words, l.norm, l.head, l.tail, sum(l.words) AS words
+  FROM texts t JOIN l ON l.r = t.r GROUP BY t.r, t.source, t.n_words, l.norm, l.head, l.tail),
 freq AS (
   SELECT h.* FROM held h
   JOIN (SELECT source, norm, count(*) AS n FROM held GROUP BY source, norm) f
     ON f.norm = h.norm AND f.source IS NOT DISTINCT FROM h.source
   JOIN limits m ON m.source IS NOT DISTINCT FROM h.source WHERE f.n > m.lim),
-own AS (SELECT r FROM freq GROUP BY r HAVING sum(words) <= (1 - 0.7) * any_value(n_words)),
+heads AS (SELECT DISTINCT source, head FROM freq),
+tails AS (SELECT DISTINCT source, tail FROM freq),
+own AS (
+  SELECT h.r, string_agg(h.norm, chr(10) ORDER BY h.norm) AS rest FROM held h
+  WHERE h.r IN (SELECT r FROM freq)
+    AND NOT EXISTS (SELECT 1 FROM freq f WHERE f.norm = h.norm AND f.source IS NOT DISTINCT FROM h.source)
+    AND NOT EXISTS (SELECT 1 FROM heads f WHERE f.head = h.head AND f.source IS NOT DISTINCT FROM h.source)
+    AND NOT EXISTS (SELECT 1 FROM tails f WHERE f.tail = h.tail AND f.source IS NOT DISTINCT FROM h.source)
+  GROUP BY h.r HAVING 9 * sum(h.words) > any_value(h.n_words)),
 boiler AS (
-  SELECT f.source, f.norm FROM (SELECT * FROM freq WHERE r IN (SELECT r FROM own)) f
-  JOIN limits m ON m.source IS NOT DISTINCT FROM f.source GROUP BY f.source, f.norm HAVING count(*) > any_value(m.lim)),
+  SELECT f.source, f.norm FROM freq f JOIN own o ON o.r = f.r
+  JOIN limits m ON m.source IS NOT DISTINCT FROM f.source GROUP BY f.source, f.norm
+  HAVING count(DISTINCT o.rest) > any_value(m.lim)),
 gone AS (
   SELECT t.source, t.text FROM freq f
   JOIN boiler b ON b.norm = f.norm AND b.source IS NOT DISTINCT FROM f.source

@@ -109,21 +109,44 @@ def mix(docs: DataFrame, seed: int = SEED, slice_rows: int = SLICE_ROWS, **targe
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """``docs`` with every document as often as the mix takes it, whole texts only.
 
-    The document at a source's border enters once more if at least half of its words are taken. Rows
-    meet by id and size; of rows that repeat an id the mix takes the same number.
+    The document at a source's border enters once more if at least half of its words are taken. Rows meet
+    by id, size and source. Rows that share all three share out the copies that the mix gives them
+    together: they are numbered, and the first ones enter once more than the others.
     """
     half = F.col("taken") * 2 >= F.col("size") * (2 * F.floor(F.col("taken") / F.col("size")) + 1)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size")) + half.cast("int")).otherwise(0)
     times = mixed.groupBy(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("source").alias("_mix_source"))
-    times = times.agg(F.max(copies).cast("int").alias("_mix_copies")).filter("_mix_copies > 0")
+    times = times.agg(F.sum(copies).alias("_mix_sum"), F.count(F.lit(1)).alias("_mix_n")).filter("_mix_sum > 0")
+    times = times.withColumn("_mix_copies", F.floor(F.col("_mix_sum") / F.col("_mix_n")).cast("int"))
+    times = times.withColumn("_mix_more", F.col("_mix_sum") - F.col("_mix_copies") * F.col("_mix_n"))
     sized = docs.withColumn("_mix_words", n_words(F.col("text")))
     on = (
         sized["doc_id"].eqNullSafe(times["_mix_id"])
         & (sized["_mix_words"] == times["_mix_size"])
         & sized["source"].eqNullSafe(times["_mix_source"])
     )
-    rows = sized.join(times, on).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return rows.select(*docs.columns)
+    met = sized.join(times, on)
+    alike, shared = met.filter("_mix_more = 0"), met.filter("_mix_more > 0")
+    rows = alike.select(*docs.columns, "_mix_copies").unionByName(_shared_out(shared).select(*docs.columns, "_mix_copies"))
+    copy = F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))
+    return rows.filter("_mix_copies > 0").withColumn("_mix_copy", copy).select(*docs.columns)
+
+
+def _shared_out(rows: DataFrame) -> DataFrame:
+    """Adds one copy to ``_mix_more`` rows of each group; rows are numbered within the written parts, then across them."""
+    rows = cut(rows.withColumn("_mix_row", F.monotonically_increasing_id()), "shared_rows")
+    rows = rows.withColumn("_mix_part", F.shiftright("_mix_row", 33))
+    names = ["_mix_id", "_mix_size", "_mix_source"]
+    parts = rows.groupBy(*names, "_mix_part").agg(F.count(F.lit(1)).alias("_mix_held"))
+    earlier = Window.partitionBy(*names).orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_mix_before", F.coalesce(F.sum("_mix_held").over(earlier), F.lit(0))).alias("p")
+    on = F.col("r._mix_part") == F.col("p._mix_part")
+    for name in names:
+        on = on & F.col(f"r.{name}").eqNullSafe(F.col(f"p.{name}"))
+    placed = rows.alias("r").join(parts, on).select("r.*", "_mix_before")
+    place = F.row_number().over(Window.partitionBy(*names, "_mix_part").orderBy("_mix_row")) + F.col("_mix_before")
+    more = (place <= F.col("_mix_more")).cast("int")
+    return placed.withColumn("_mix_copies", F.col("_mix_copies") + more)
 
 
 SQL = """

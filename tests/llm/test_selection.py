@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from duskrank.llm import line_quality, mixing, url_rules
 
 
@@ -113,6 +115,44 @@ def test_boilerplate_goes_and_depleted_documents_go(make_docs, prose, sentence):
     assert out[200]["text"] == prose("copied") and out[300]["text"].startswith(prose("near"))
 
 
+def menu_pages(make_docs, sentence):
+    """1,000 pages with 40 words of menu and 60 of their own, a page that is only menu, 300 near copies of an article."""
+    menu = [sentence(f"menu{k}", 8) for k in range(5)]
+    rows = [(i, "\n".join(menu + [sentence(f"own{i}-{k}", 12) for k in range(5)]), "a") for i in range(1000)]
+    rows.append((1000, "\n".join(menu), "a"))
+    article = [sentence(f"article{k}", 14) for k in range(12)]
+    for i in range(300):
+        copy = list(article)
+        words = copy[i % 12].split(" ")
+        words[i % 14] = f"edit{i}"
+        copy[i % 12] = " ".join(words)
+        rows.append((2000 + i, "\n".join(copy), "a"))
+    return make_docs(rows), menu, article
+
+
+def test_menus_go_and_copies_stay(make_docs, sentence, sql):
+    docs, menu, article = menu_pages(make_docs, sentence)
+    kept = {r["doc_id"]: r["kept"] for r in line_quality.judge(docs).collect()}
+    assert {i for i, k in kept.items() if not k} == {1000}
+    out = {r["doc_id"]: r["text"] for r in line_quality.apply(docs).collect()}
+    assert 1000 not in out and all(not set(menu) & set(out[i].split("\n")) for i in range(1000))
+    assert all(len(set(article) & set(out[2000 + i].split("\n"))) == 11 for i in range(300))
+    names = ["doc_id", "n_words", "kept"]
+    want = sql(f"SELECT doc_id, n_words, kept FROM ({line_quality.SQL})", documents=docs.select("doc_id", "text", "source"))
+    assert rows(line_quality.judge(docs).select(names)) == want
+
+
+def test_rows_that_share_an_id_share_out_the_copies(make_docs, sentence):
+    docs = make_docs([(None, sentence(f"{i}", 10), "a") for i in range(3000)] + [(7, "b c", "b"), (7, "b c", "b")])
+    for slice_rows in (50, 1 << 16):
+        mixed = mixing.mix(docs.repartition(5), slice_rows=slice_rows, budget=0.95)
+        taken = dict(mixed.groupBy("source").agg(F.sum("taken")).collect())
+        out = mixing.repeated(docs, mixed)
+        got = dict(out.groupBy("source").agg(F.sum(mixing.n_words(F.col("text")))).collect())
+        assert taken.keys() >= got.keys() and all(abs(taken[s] - got.get(s, 0)) <= 10 for s in taken)
+        assert out.filter("source = 'a'").groupBy("text").count().agg(F.max("count")).first()[0] <= 2
+
+
 def test_quality_of_no_documents(no_docs):
     assert line_quality.judge(no_docs).count() == 0 and line_quality.apply(no_docs).columns == no_docs.columns
 
