@@ -8,13 +8,20 @@ ring: every shingle is a Poisson process with its weight as rate, each arrival f
 component, and a shingle stops as soon as its next arrival is later than the latest component.
 
 Texts are compared as follows. Equal texts are one node. ``BANDS`` bands of ``ROWS`` components put a
-node into that many buckets. In a bucket, every member is compared with a pivot, not with every other
-member; links found so far give components. Members that are in another component than the pivot
-become pivots themselves, sixteen times as many in each round, against the members of other components,
-until no bucket has members left that were not compared. So no link inside a bucket that would join two
-components is lost, and a bucket full of copies costs one comparison per member. A pair of similarity s
-shares a bucket with probability 1 - (1 - s^ROWS)^BANDS: 0.99997 at 0.8, 0.3 at 0.5 and 0.01 at 0.3, so
-texts that have just a common passage seldom meet.
+node into that many buckets. In a bucket, every member is compared with one pivot, its least member; the
+links found give components. A pair of similarity s shares a bucket with probability
+1 - (1 - s^ROWS)^BANDS: 0.99997 at 0.8, 0.3 at 0.5 and 0.01 at 0.3, so texts that have just a common
+passage seldom meet.
+
+Members that the pivot leaves in several components meet by prefixes. Let u and w be the shares of two
+texts' weight that lie on shingles the other text lacks. Their similarity is at most
+1 / (1 + u / (1 - u) + w / (1 - w)). With the shingles of every text in one order, the rarest first, all
+that stands before the first common shingle counts in u and w; so a pair at the threshold t has a common
+shingle before which each text has at most 1 - t of its weight, and odds of at most 1 / t - 1 in sum. Only
+pairs of different components that have such a shingle are verified: first with one text for each
+shingle, that of least odds, which ends most splits, then all that are left. So no link inside a bucket
+that would join two components is lost, and texts from one template meet only where their own parts are
+small enough for a link.
 
 Null texts are alone; texts without words equal only exact copies of themselves. Rows with equal text
 are of one class whatever their ids; a class is named by its least document id (null if it has none).
@@ -28,7 +35,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskrank.llm.common import slices
@@ -40,6 +47,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 45, 7
 COMPONENTS = BANDS * ROWS
 CACHED_WORDS = 100_000
+ROUNDING = 1e-9  # of sums of shares; lets a pair at the very threshold through to the exact test
 
 _U = np.uint64
 _GOLD, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -167,6 +175,28 @@ def _verified(threshold: float):
     return run
 
 
+def _shares(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The share of a text's weight that each of its shingles has."""
+    for batch in slices(batches, "text"):
+        nodes, codes, weights = [], [], []
+        for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            code, n = np.unique(shingles(text), return_counts=True)
+            nodes.append(np.full(len(code), node))
+            codes.append(code.view(np.int64))
+            weights.append(n / n.sum())
+        arrays = [pa.array(np.concatenate(x)) for x in (nodes, codes, weights)]
+        yield pa.RecordBatch.from_arrays(arrays, ["node", "shingle", "share"])
+
+
+def _named(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds each node's component: its own number if it has no link."""
+    return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _pairs(met: DataFrame, a: Column, b: Column) -> DataFrame:
+    return met.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+
+
 class NearDuplicates:
     """The state of a search: nodes (distinct texts), their buckets, and the texts of compared nodes."""
 
@@ -201,38 +231,58 @@ class NearDuplicates:
 
     def components(self) -> DataFrame:
         """(node, component) of the nodes that have a link."""
-        compared = cut(
-            self.buckets.filter("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(),
-            "pairs",
-        )
+        members = self.buckets.filter("node <> pivot")
+        compared = cut(members.select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), "pairs")
         links = cut(self._links(compared), "found")
         found = cut(components(links), "components")
-        done, more = None, 16
-        while True:
-            pairs, done = self._next_pairs(found, done, more)
-            pairs = cut(pairs.join(compared, ["u", "v"], "left_anti"), "pairs")
-            if done is None:
-                return found
-            compared = compared.unionByName(pairs)
+        placed = cut(self._prefixes(self._split(members, found)), "prefixes")
+        for meet in (self._hub_pairs, self._all_pairs):
+            pairs = cut(meet(_named(placed, found)).join(compared, ["u", "v"], "left_anti"), "pairs")
             if pairs.limit(1).count():
+                compared = compared.unionByName(pairs)
                 links = links.unionByName(cut(self._links(pairs), "found"))
                 found = cut(components(links), "components")
-            more *= 16
-
-    def _next_pairs(self, found: DataFrame, done: DataFrame | None, more: int) -> tuple[DataFrame, DataFrame | None]:
-        """Pairs of the next ``more`` pivots of every bucket that spans components, and how far each bucket is."""
-        named = self.buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        hubs = named.filter("node = pivot").select("key", F.col("component").alias("hub"))
-        split = named.join(hubs, "key").filter("component <> hub")
-        if done is not None:
-            split = split.join(done, "key").filter("node > last")  # a bucket that is through has no row in done
-        order = Window.partitionBy("key").orderBy("node")
-        chosen = split.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= more)
-        chosen = cut(chosen.select("key", F.col("node").alias("v"), F.col("component").alias("_own")), "pivots")
-        reached = cut(chosen.groupBy("key").agg(F.max("v").alias("last")), "reached")
-        pairs = named.join(chosen, "key").filter("component <> _own")
-        pairs = pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
-        return pairs, reached if reached.limit(1).count() else None
+        return found
+
+    @staticmethod
+    def _split(members: DataFrame, found: DataFrame) -> DataFrame:
+        """The members of buckets that hold more than one component beside the pivot."""
+        named = _named(members, found)
+        spans = named.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
+        return named.join(spans.filter("_least <> _most").select("key"), "key", "left_semi").select("node").distinct()
+
+    def _prefixes(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingle, odds): the shingles at which a link of the node can first meet the other text.
+
+        The rarity that orders the shingles is counted over ``nodes``; any order would give the same links.
+        """
+        shares = self.texts.join(nodes, "node", "left_semi").mapInArrow(_shares, "node long, shingle long, share double")
+        shares = cut(shares, "shares")
+        held = shares.groupBy("shingle").agg(F.count(F.lit(1)).alias("_held"))
+        rarest = Window.partitionBy("node").orderBy("_held", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("share").over(rarest), F.lit(0.0))
+        placed = shares.join(held, "shingle").withColumn("_before", before)
+        near = placed.filter((F.col("_held") > 1) & (F.col("_before") <= 1 - self.threshold + ROUNDING))
+        return near.select("node", "shingle", (F.col("_before") / (1 - F.col("_before"))).alias("odds"))
+
+    def _hub_pairs(self, placed: DataFrame) -> DataFrame:
+        """Every node with the hub of each of its shingles: the node of least odds."""
+        hubs = placed.groupBy("shingle").agg(F.min(F.struct("odds", "node", "component")).alias("hub"))
+        met = placed.join(hubs, "shingle").filter(F.col("component") != F.col("hub.component"))
+        met = met.filter(F.col("odds") + F.col("hub.odds") <= 1 / self.threshold - 1 + ROUNDING)
+        return _pairs(met, F.col("node"), F.col("hub.node"))
+
+    def _all_pairs(self, placed: DataFrame) -> DataFrame:
+        """Every node outside the largest component of a shingle with the shingle's nodes of other components."""
+        sizes = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("_n"))
+        main = sizes.groupBy("shingle").agg(
+            F.max_by("component", F.struct("_n", "component")).alias("main"), F.count(F.lit(1)).alias("_components")
+        )
+        met = placed.join(main.filter("_components > 1").drop("_components"), "shingle")
+        small = met.filter("component <> main").alias("a")
+        on = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component"))
+        on = on & (F.col("a.odds") + F.col("b.odds") <= 1 / self.threshold - 1 + ROUNDING)
+        return _pairs(small.join(met.alias("b"), on), F.col("a.node"), F.col("b.node"))
 
     def classes(self) -> DataFrame:
         """(doc_id, digest, class_id, class_node): one row per row of the documents; node null for null texts."""

@@ -99,6 +99,38 @@ def test_members_beyond_the_pivot_are_compared(make_docs, words):
     assert {r["class_id"] for r in probminhash.near_duplicates(docs).collect()} == {0}
 
 
+@pytest.mark.parametrize("edits", [2, 5])
+def test_near_copies_below_the_threshold_cost_no_pairs(make_docs, words, edits):
+    """300 copies of a text, some linked and some too far from all others: classes by brute force, few pairs compared."""
+    rng, texts = random.Random(edits), []
+    for k in range(300):
+        copy = words[:200]
+        for place in rng.sample(range(200), edits if k % 10 else 14):
+            copy[place] = f"own{k}x{place}"
+        texts.append(" ".join(copy))
+    shingled = [probminhash.shingles(t) for t in texts]
+    links = [
+        (i, j) for i, j in combinations(range(300), 2) if probminhash.probability_jaccard(shingled[i], shingled[j]) >= 0.8
+    ]
+    search = probminhash.NearDuplicates(make_docs([(i, t, "a") for i, t in enumerate(texts)]))
+    asked, verify = [], search._links
+    search._links = lambda pairs: asked.append(pairs.count()) or verify(pairs)
+    got = {r["doc_id"]: r["class_id"] for r in search.classes().collect()}
+    assert [got[i] for i in range(300)] == classes(links, 300)
+    first, *later = asked
+    assert sum(later) < 300 * 20  # of 44,850
+
+
+def test_prefix_bound_holds_for_weighted_shingles():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        base = rng.integers(1, 1 << 62, size=30, dtype=np.uint64)
+        a, b = (np.repeat(base[rng.random(30) < 0.9], 1 + rng.integers(0, 3)) for _ in range(2))
+        a = np.concatenate([a, np.repeat(base[:5], rng.integers(1, 4))])
+        u, w = 1 - np.isin(a, b).mean(), 1 - np.isin(b, a).mean()
+        assert probminhash.probability_jaccard(a, b) <= 1 / (1 + u / (1 - u) + w / (1 - w)) + 1e-9
+
+
 def test_near_duplicate_edge_rows(edge_docs, no_docs):
     got = probminhash.near_duplicates(edge_docs)
     assert got.count() == edge_docs.count()
