@@ -17,7 +17,9 @@ Members that the pivot leaves in several components meet by prefixes. Let u and
 texts' weight that lie on shingles the other text lacks. Their similarity is at most
 1 / (1 + u / (1 - u) + w / (1 - w)). With the shingles of every text in one order, the rarest first, all
 that stands before the first common shingle counts in u and w; so a pair at the threshold t has a common
-shingle before which each text has at most 1 - t of its weight, and odds of at most 1 / t - 1 in sum. Only
+shingle before which each text has at most 1 - t of its weight, and odds of at most 1 / t - 1 in sum. Texts
+of m and n shingles, none of them repeated, share as many on either side; so the number of shingles from the
+first common one on, in either text, is at least (m + n) / (1 + 1 / t). Only
 pairs of different components that have such a shingle are verified: first with one text for each
 shingle, that of least odds, which ends most splits, then all that are left. So no link inside a bucket
 that would join two components is lost, and texts from one template meet only where their own parts are
@@ -176,16 +178,17 @@ def _verified(threshold: float):
 
 
 def _shares(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The share of a text's weight that each of its shingles has."""
+    """The share of a text's weight that each of its shingles has, and their number if none is repeated."""
     for batch in slices(batches, "text"):
-        nodes, codes, weights = [], [], []
+        nodes, codes, weights, sizes = [], [], [], []
         for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
             code, n = np.unique(shingles(text), return_counts=True)
             nodes.append(np.full(len(code), node))
             codes.append(code.view(np.int64))
             weights.append(n / n.sum())
-        arrays = [pa.array(np.concatenate(x)) for x in (nodes, codes, weights)]
-        yield pa.RecordBatch.from_arrays(arrays, ["node", "shingle", "share"])
+            sizes += [len(code) if n.max() == 1 else None] * len(code)
+        arrays = [pa.array(np.concatenate(x)) for x in (nodes, codes, weights)] + [pa.array(sizes, pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, ["node", "shingle", "share", "size"])
 
 
 def _named(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -252,25 +255,35 @@ class NearDuplicates:
         return named.join(spans.filter("_least <> _most").select("key"), "key", "left_semi").select("node").distinct()
 
     def _prefixes(self, nodes: DataFrame) -> DataFrame:
-        """(node, shingle, odds): the shingles at which a link of the node can first meet the other text.
+        """(node, shingle, odds, size, room): the shingles at which a link of the node can first meet the other text.
 
         The rarity that orders the shingles is counted over ``nodes``; any order would give the same links.
         """
-        shares = self.texts.join(nodes, "node", "left_semi").mapInArrow(_shares, "node long, shingle long, share double")
+        shares = self.texts.join(nodes, "node", "left_semi").mapInArrow(_shares, "node long, shingle long, share double, size long")
         shares = cut(shares, "shares")
         held = shares.groupBy("shingle").agg(F.count(F.lit(1)).alias("_held"))
         rarest = Window.partitionBy("node").orderBy("_held", "shingle").rowsBetween(Window.unboundedPreceding, -1)
         before = F.coalesce(F.sum("share").over(rarest), F.lit(0.0))
         placed = shares.join(held, "shingle").withColumn("_before", before)
         near = placed.filter((F.col("_held") > 1) & (F.col("_before") <= 1 - self.threshold + ROUNDING))
-        return near.select("node", "shingle", (F.col("_before") / (1 - F.col("_before"))).alias("odds"))
+        room = (F.col("size") * (1 - F.col("_before"))).alias("room")
+        return near.select("node", "shingle", (F.col("_before") / (1 - F.col("_before"))).alias("odds"), "size", room)
+
+    def _may_link(self, a: str, b: str) -> Column:
+        """Whether the prefixes ``a`` and ``b``, met at their first common shingle, leave room for a link."""
+        limit = 1 / self.threshold
+        by_odds = F.col(f"{a}.odds") + F.col(f"{b}.odds") <= limit - 1 + ROUNDING
+        least = F.least(f"{a}.room", f"{b}.room") * (limit + 1) + ROUNDING * F.col(f"{a}.size")
+        by_size = F.col(f"{a}.size") + F.col(f"{b}.size") <= least
+        return by_odds & F.coalesce(by_size, F.lit(True))
 
     def _hub_pairs(self, placed: DataFrame) -> DataFrame:
         """Every node with the hub of each of its shingles: the node of least odds."""
-        hubs = placed.groupBy("shingle").agg(F.min(F.struct("odds", "node", "component")).alias("hub"))
-        met = placed.join(hubs, "shingle").filter(F.col("component") != F.col("hub.component"))
-        met = met.filter(F.col("odds") + F.col("hub.odds") <= 1 / self.threshold - 1 + ROUNDING)
-        return _pairs(met, F.col("node"), F.col("hub.node"))
+        least = F.min(F.struct("odds", "node", "component", "size", "room"))
+        hubs = placed.groupBy("shingle").agg(least.alias("hub")).select("shingle", "hub.*")
+        on = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component"))
+        met = placed.alias("a").join(hubs.alias("b"), on & self._may_link("a", "b"))
+        return _pairs(met, F.col("a.node"), F.col("b.node"))
 
     def _all_pairs(self, placed: DataFrame) -> DataFrame:
         """Every node outside the largest component of a shingle with the shingle's nodes of other components."""
@@ -281,8 +294,8 @@ class NearDuplicates:
         met = placed.join(main.filter("_components > 1").drop("_components"), "shingle")
         small = met.filter("component <> main").alias("a")
         on = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.component") != F.col("b.component"))
-        on = on & (F.col("a.odds") + F.col("b.odds") <= 1 / self.threshold - 1 + ROUNDING)
-        return _pairs(small.join(met.alias("b"), on), F.col("a.node"), F.col("b.node"))
+        met = small.join(met.alias("b"), on & self._may_link("a", "b"))
+        return _pairs(met, F.col("a.node"), F.col("b.node"))
 
     def classes(self) -> DataFrame:
         """(doc_id, digest, class_id, class_node): one row per row of the documents; node null for null texts."""
