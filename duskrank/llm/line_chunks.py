@@ -47,8 +47,14 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 def lines_of(text: str) -> list[str]:
     """Pieces that make up the text; white space without a line belongs to the piece before it."""
+    if "\0" in text:
+        pieces = _ENDS.split(text)
+    else:  # a mark at every end; the expression would be tried at every character
+        for end in ".!?":
+            text = text.replace(f"{end} ", f"{end}\0 ")
+        pieces = text.replace("\n", "\n\0").split("\0")
     out: list[str] = []
-    for piece in _ENDS.split(text):
+    for piece in pieces:
         if out and (not piece or piece.isspace()):
             out[-1] += piece
         elif piece:
@@ -65,38 +71,63 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def seeds(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first line and number of lines of every chunk."""
-    lines = [piece.strip().encode() for piece in lines_of(text)]
+    return all_seeds([text])[:3]
+
+
+def all_seeds(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the chunks of all texts, text by text: hash, first line and number of lines; and where each text's chunks end.
+
+    The lines of the texts are numbered through, and a chunk must lie inside its text.
+    """
+    lines, sizes = [], []
+    for text in texts:
+        own = [piece.strip() for piece in lines_of(text)]
+        lines += own
+        sizes.append(len(own))
     n = len(lines)
     codes = np.fromiter(map(xxhash.xxh64_intdigest, lines), dtype=_U, count=n)
-    words = np.concatenate(([0], np.cumsum([x.count(b" ") + 1 for x in lines], dtype=np.int64)))
-    at = np.arange(n + 1)
-    stop = np.maximum(at + MIN_LINES, np.searchsorted(words, words + MIN_WORDS, "left"))
-    start = np.minimum(at - MIN_LINES, np.searchsorted(words, words - MIN_WORDS, "right") - 1)
-    first = np.concatenate((at[stop <= n], start[start >= 0]))
-    last = np.concatenate((stop[stop <= n], at[start >= 0]))
-    first, last = np.divmod(np.unique(first * (n + 1) + last), n + 1)
+    words = np.zeros(n + 1, dtype=np.int64)
+    np.cumsum(np.fromiter((x.count(" ") + 1 for x in lines), dtype=np.int64, count=n), out=words[1:])
+    ends = np.cumsum(sizes, dtype=np.int64)
+    begins, ends_at = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)  # of each line's text
+    at = np.arange(n)
+    stop = np.maximum(at + MIN_LINES, np.searchsorted(words, words[:-1] + MIN_WORDS, "left"))
+    start = np.minimum(at + 1 - MIN_LINES, np.searchsorted(words, words[1:] - MIN_WORDS, "right") - 1)
+    whole = stop <= ends_at
+    # the shortest chunk that ends at a line may be the shortest that begins at its first line: once is enough
+    more = start >= begins
+    more[more] = stop[start[more]] != at[more] + 1
+    first, last = np.concatenate((at[whole], start[more])), np.concatenate((stop[whole], at[more] + 1))
+    first, last = np.divmod(np.sort(first * (n + 1) + last, kind="stable"), n + 1)
     # sums of place-dependent terms make every chunk's hash a difference of two running sums
     sums = np.concatenate((np.zeros(1, dtype=_U), np.cumsum(codes * _powers(_BASE, n), dtype=_U)))
     hashes = mix((sums[last] - sums[first]) * _powers(_INVERSE, n + 1)[first] + (last - first).astype(_U))
-    return hashes.view(np.int64), first, last - first
+    return hashes.view(np.int64), first - begins[first], last - first, np.searchsorted(first, ends, "left")
 
 
 def _seeded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        found = [seeds(t or "") for t in batch.column("text").to_pylist()]
-        ends = np.cumsum([0, *(len(h) for h, _, _ in found)])
-        columns = [np.concatenate(c).astype(t) for c, t in zip(zip(*found, strict=True), ("i8", "i4", "i4"), strict=True)]
-        chunks = pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(_SEED_TYPE.value_type))
-        found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunks).cast(_SEED_TYPE)
+        hashes, first, n, ends = all_seeds([t or "" for t in batch.column("text").to_pylist()])
+        columns = [pa.array(c.astype(t)) for c, t in zip((hashes, first, n), ("i8", "i4", "i4"), strict=True)]
+        chunks = pa.StructArray.from_arrays(columns, fields=list(_SEED_TYPE.value_type))
+        found = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), chunks).cast(_SEED_TYPE)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"), found], ["doc_id", "_key", "seeds"])
 
 
+def stripped_lines(text: str) -> list[str]:
+    return [x.strip() for x in lines_of(text)]
+
+
 def repeated_runs(
     text: str, original: str, same: bool, found: list[tuple[int, int, int]]
 ) -> list[tuple[int, int]]:
     """Runs of lines of ``text`` that equal lines of ``original``, grown from ``found`` (place, original's place, n)."""
-    mine = [x.strip() for x in lines_of(text)]
-    theirs = mine if same else [x.strip() for x in lines_of(original)]
+    mine = stripped_lines(text)
+    return grown_runs(mine, mine if same else stripped_lines(original), found)
+
+
+def grown_runs(mine: list[str], theirs: list[str], found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """``repeated_runs`` of texts that are cut into lines already."""
     runs: list[tuple[int, int]] = []
     done = bytearray(len(mine))  # a run ends where another begins, so equal lines in any number are passed once
     for pos, first, n in sorted(found):
@@ -116,13 +147,18 @@ def repeated_runs(
 
 
 def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, theirs = None, []
     for batch in slices(batches, "text"):
-        keys, out = batch.column("_key").to_pylist(), []
-        for k in range(batch.num_rows):
-            text, original, found = (batch.column(c)[k].as_py() for c in ("text", "original", "found"))
-            runs = repeated_runs(
-                text, original, keys[k] == batch.column("first_key")[k].as_py(), [(f["pos"], f["first"], f["n"]) for f in found]
-            )
+        keys, firsts, texts = (batch.column(c).to_pylist() for c in ("_key", "first_key", "text"))
+        found = batch.column("found")
+        ends = np.cumsum([0, *pa.compute.list_value_length(found).to_pylist()]).tolist()
+        chunks = list(zip(*(c.to_pylist() for c in found.flatten().flatten()), strict=True))
+        out = []
+        for k, text in enumerate(texts):
+            mine = stripped_lines(text)
+            if keys[k] != firsts[k] and firsts[k] != last:  # rows come sorted by original where the join sorts
+                last, theirs = firsts[k], stripped_lines(batch.column("original")[k].as_py())
+            runs = grown_runs(mine, mine if keys[k] == firsts[k] else theirs, chunks[ends[k] : ends[k + 1]])
             out.append([i for a, b in runs for i in range(a, b)])
         yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(out, pa.list_(pa.int32()))], ["_key", "places"])
 
@@ -155,7 +191,7 @@ def _salted(pairs: DataFrame) -> DataFrame:
 
 def _rebuilt(schema: T.StructType):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts = []
             for text, gone in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
                 drop = set(gone)

@@ -1,10 +1,12 @@
 """Line dedup and near-duplicates against brute force."""
 
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from duskrank.llm import components, line_chunks, probminhash
@@ -246,3 +248,29 @@ def test_line_dedup_edge_rows(edge_docs, no_docs):
 def test_lines_make_up_the_text():
     for text in ("", "\n\n", " a. b! c?\n\n d...e. \t\nf", "no end", "x.\n", "\n x"):
         assert "".join(line_chunks.lines_of(text)) == text
+
+
+def test_chunks_of_many_texts_are_those_of_each():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("a.!?      \n\t\0\x1c\u00a0\u3000é東", k=rng.randint(0, 300))) for _ in range(300)] + ["", "\n", "a. "]
+    hashes, first, n, ends = line_chunks.all_seeds(texts)
+    assert len(ends) == len(texts) and ends[-1] == len(hashes) > 300
+    for text, a, b in zip(texts, [0, *ends], ends):
+        got = [x[a:b].tolist() for x in (hashes, first, n)]
+        assert got == [x.tolist() for x in line_chunks.seeds(text)]
+        pieces = [x for x in re.split(r"(?<=[.!?])(?= )|(?<=\n)", text) if x.strip()]
+        assert [x.strip() for x in line_chunks.lines_of(text) if x.strip()] == [x.strip() for x in pieces]
+
+
+def test_an_original_is_cut_into_lines_once(monkeypatch):
+    cut, calls = line_chunks.lines_of, []
+    monkeypatch.setattr(line_chunks, "lines_of", lambda text: calls.append(text) or cut(text))
+    text, found = "A b.\nC d.\nE f.", [{"pos": 0, "first": 1, "n": 2}]
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("first", pa.int32()), ("n", pa.int32())]))
+    columns = {"_key": [1, 2, 3, 9, 4], "first_key": [9, 9, 9, 9, 8], "text": [text] * 5, "original": ["X.\nA b.\nC d."] * 5}
+    batch = pa.RecordBatch.from_arrays(
+        [*map(pa.array, columns.values()), pa.array([found] * 3 + [[{"pos": 1, "first": 0, "n": 2}], found], kind)], [*columns, "found"]
+    )
+    (out,) = line_chunks._compared([batch])
+    assert out.column("places").to_pylist() == [[0, 1], [0, 1], [0, 1], [], [0, 1]]
+    assert len(calls) == 7 and calls.count("X.\nA b.\nC d.") == 2
