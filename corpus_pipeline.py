@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from duskrank.llm import bpe, line_chunks, line_quality, mixing, probminhash
 from duskrank.llm.common import table
-from duskrank.session import scratch_root
+from duskrank.session import cut, scratch_root
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,6 +50,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # the text's hash goes along in place of the text, so a task holds no text beside its ids
     hashed = F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("text_hash")
     coded = bpe.encode(docs.select("doc_id", "source", "text", hashed), path, public_tokenizers.PATTERN)
+    # written between the two, so that a task has one Python worker at a time and not two beside each other
+    coded = cut(coded, "coded")
     whole = F.xxhash64("decoded") == F.col("text_hash")
     return bpe.decode(coded, path).select(
         "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip")

@@ -75,3 +75,9 @@ def test_stages_keep_columns_with_common_names(spark, edge_docs, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns
         assert out.select(*names).distinct().count() <= 1
+
+
+def test_no_task_of_the_encoding_has_two_python_workers(spark, edge_docs, sf_dir):
+    out = corpus_pipeline.encode(spark, edge_docs, sf_dir)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert out.count() == edge_docs.count() and out.filter("NOT round_trip").count() == 0
