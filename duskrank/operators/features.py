@@ -51,16 +51,24 @@ def join_features(
         item_stats.join(items.select("item_id", "source_id"), "item_id", "full").join(source_side, "source_id", "left")
     )
     user_side = user_stats if users is None else user_stats.join(users, "user_id", "full")
-    df = pairs
-    for right, keys, suffix in (
+    # A family travels as one struct: rows as wide as the table make generated code too long to be compiled.
+    df, names, packed = pairs, pairs.columns, {}
+    for k, (right, keys, suffix) in enumerate((
         (scores, ["user_id", "item_id"], ""),
         (sims, ["user_id", "item_id"], ""),
         (item_side, ["item_id"], "_item"),
         (user_source_stats, ["user_id", "source_id"], "_user2source_feature"),
         (user_side, ["user_id"], ""),
-    ):
+    )):
         if right is not None:
-            df = df.join(suffix_shared(right, df.columns, keys, suffix), keys, "left")
+            right = suffix_shared(right, names, keys, suffix)
+            own = [c for c in right.columns if c not in keys]
+            names = [*keys, *[c for c in names if c not in keys], *own]
+            inside = [c for c in own if c != "source_id"]  # a key of a later join
+            packed |= {c: F.col(f"_family{k}")[c].alias(c) for c in inside}
+            plain = [c for c in right.columns if c not in inside]
+            df = df.join(right.select(*plain, F.struct(*inside).alias(f"_family{k}")), keys, "left")
+    df = df.select(*[packed.get(c, c) for c in names])
 
     derived: dict[str, Column] = {}
     if users is not None:

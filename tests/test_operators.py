@@ -272,3 +272,24 @@ def test_vectors_of_another_length_stop_the_job(spark, tmp_path):
     with pytest.raises(Exception, match="must have 3 elements"):
         table = spark.createDataFrame([(0.5, [1.0, 2.0])], "a double, e array<float>")
         features.FeatureAssembler(["a"], "e", 3).fit(table).transform(table).collect()
+
+
+def test_feature_families_travel_as_structs(spark):
+    from duskrank.operators.features import join_features
+
+    pairs = spark.createDataFrame([(1, 10, 5), (2, 20, 6), (None, 30, 7)], "user_id long, item_id long, pos long")
+    item_stats = spark.createDataFrame([(10, 0.5, 3)], "item_id long, mean_like double, n_users long")
+    source_stats = spark.createDataFrame([(1, 0.25, 9)], "source_id long, mean_like double, n_users long")
+    items = spark.createDataFrame([(10, 1), (20, 1)], "item_id long, source_id long")
+    user_stats = spark.createDataFrame([(1, 0.5)], "user_id long, user_like_perc double")
+    out = join_features(pairs, None, item_stats, source_stats, items, user_stats, likelihoods=False)
+    assert out.columns == [
+        "user_id", "item_id", "pos", "source_id", "mean_like", "n_users", "mean_like_source", "n_users_source",
+        "user_like_perc", "user2item_like_perc",
+    ]
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[1]) == [
+        (1, 10, 5, 1, 0.5, 3, 0.25, 9, 0.5, 0.25),
+        (2, 20, 6, 1, None, None, 0.25, 9, None, None),
+        (None, 30, 7, None, None, None, None, None, None, None),
+    ]
+    assert "AS _family2" in out._jdf.queryExecution().optimizedPlan().toString()
